@@ -1,0 +1 @@
+"""Structured Streaming queries. None is in scope yet; see the README."""
