@@ -15,8 +15,9 @@ def hundredths(value: Column, precision: int) -> Column:
 
     Spark casts a double to a decimal by way of its text, which costs far more
     than the rest of the row. A double that already lies at a whole number of
-    hundredths cannot round to any other, so only the rest take the cast. That
-    also covers NaN and values out of range, which then fail as the cast does.
+    hundredths cannot round to any other, so only the rest take the cast. NaN,
+    infinity and values out of range are among the rest, so they give null or
+    fail just as the cast does.
     """
     scaled = value * 100
     nearest = F.rint(scaled)

@@ -1,0 +1,65 @@
+import contextlib
+import io
+import os
+import sys
+
+import duckdb
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from tallyforge.session import local_session  # noqa: E402
+
+TESTDATA = "/root/testdata"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8, spark__ui__showConsoleProgress="false")
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def conf(spark):
+    """Sets runtime settings for one test."""
+    before = {}
+
+    def set_conf(**settings):
+        for key, value in settings.items():
+            key = key.replace("__", ".")
+            before.setdefault(key, spark.conf.get(key))
+            spark.conf.set(key, value)
+
+    yield set_conf
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.fixture(scope="session")
+def duck():
+    """Runs SQL over every Parquet table in a folder."""
+
+    def run(root, sql):
+        con = duckdb.connect()
+        for entry in sorted(os.listdir(root)):
+            path = os.path.join(root, entry)
+            files = os.path.join(path, "*.parquet") if os.path.isdir(path) else path
+            con.sql(f"CREATE VIEW {entry.removesuffix('.parquet')} AS FROM '{files}'")
+        return con.sql(sql)
+
+    return run
+
+
+@pytest.fixture
+def plan_of():
+    """The text of a DataFrame's plan."""
+
+    def text(df, mode="simple"):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain(mode=mode)
+        return out.getvalue()
+
+    return text
