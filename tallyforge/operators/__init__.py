@@ -1,3 +1,3 @@
-from tallyforge.operators.totals import add_up, as_summable, total_amount
+from tallyforge.operators.totals import add_up, sum_rows, total_amount
 
-__all__ = ["add_up", "as_summable", "total_amount"]
+__all__ = ["add_up", "sum_rows", "total_amount"]

@@ -1,8 +1,9 @@
 """Exact sums of whole-number amounts, added up in several steps.
 
 A sum of bigints can overflow and a wide decimal sum is slow, so an amount is
-split into a high and a low part that are summed apart as bigints. The low part
-of one row is under 2**20, so up to 2**43 rows fit, whatever their grouping.
+split into a high and a low part that are summed apart as bigints. With amounts
+under 2**40 both parts of a row are under 2**20, so up to 2**43 rows fit, however
+they are grouped. Beyond that Spark's ANSI mode raises an overflow error.
 """
 
 from __future__ import annotations
@@ -16,19 +17,22 @@ LOW_BITS = 20
 PARTS = ("amount_high", "amount_low", "n")
 
 
-def as_summable(df: DataFrame, key: str, amount: Column) -> DataFrame:
-    """One row per row of ``df``: its key, its amount in parts, and a count of 1."""
-    return df.select(key, amount.alias("amount")).select(
-        key,
-        F.shiftright("amount", LOW_BITS).alias("amount_high"),
-        F.col("amount").bitwiseAND(F.lit((1 << LOW_BITS) - 1)).alias("amount_low"),
-        F.lit(1).alias("n"),
+def sum_rows(df: DataFrame, key: str, amount: Column) -> DataFrame:
+    """Per key, the sum of a bigint amount in parts and the count of rows."""
+    return (
+        df.select(key, amount.alias("amount"))
+        .groupBy(key)
+        .agg(
+            F.sum(F.shiftright("amount", LOW_BITS)).alias("amount_high"),
+            F.sum(F.col("amount").bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias("amount_low"),
+            F.count("*").alias("n"),
+        )
     )
 
 
-def add_up(df: DataFrame, key: str) -> DataFrame:
-    """Sums per key. Adding up sums again under a coarser key stays exact."""
-    return df.groupBy(key).agg(*(F.sum(part).alias(part) for part in PARTS))
+def add_up(sums: DataFrame, key: str) -> DataFrame:
+    """Sums under a coarser key from those of :func:`sum_rows`, still exact."""
+    return sums.groupBy(key).agg(*(F.sum(part).alias(part) for part in PARTS))
 
 
 def total_amount(scale: int, precision: int = 28) -> Column:

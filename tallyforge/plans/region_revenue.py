@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import discounted_amount
-from tallyforge.operators import add_up, as_summable, total_amount
+from tallyforge.operators import add_up, sum_rows, total_amount
 from tallyforge.sources import ParquetTables
 
 # Amounts are products of two values in hundredths.
@@ -30,13 +30,11 @@ def region_revenue(tables: ParquetTables, start: str, end: str) -> DataFrame:
         .filter(ordered >= F.lit(start).cast("timestamp_ntz"))
         .filter(ordered < F.lit(end).cast("timestamp_ntz"))
     )
-    lines = as_summable(
+    per_order = sum_rows(
         tables["lineitem"],
         "l_orderkey",
         discounted_amount(F.col("l_extendedprice"), F.col("l_discount")),
     )
-
-    per_order = add_up(lines, "l_orderkey")
     per_customer = add_up(
         per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey"
     )

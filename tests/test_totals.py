@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyforge.operators import add_up, as_summable, total_amount
+from tallyforge.operators import add_up, sum_rows, total_amount
 
 BIGINT_MAX = 2**63 - 1
 
@@ -16,7 +16,7 @@ def totals(df, key):
 def test_sum_beyond_bigint_is_exact(spark):
     # Nine times the largest bigint: a plain sum of bigints overflows.
     df = spark.range(9).select(F.lit(1).alias("k"), F.lit(BIGINT_MAX).alias("amount"))
-    summed = add_up(as_summable(df, "k", F.col("amount")), "k")
+    summed = sum_rows(df, "k", F.col("amount"))
     assert totals(summed, "k") == {1: (Decimal(9 * BIGINT_MAX).scaleb(-4), 9)}
 
 
@@ -24,7 +24,7 @@ def test_negative_and_null_amounts(spark):
     df = spark.createDataFrame(
         [(1, -5), (1, 3), (1, None), (2, None), (3, -(2**40)), (3, -1)], "k int, amount bigint"
     )
-    summed = add_up(as_summable(df, "k", F.col("amount")), "k")
+    summed = sum_rows(df, "k", F.col("amount"))
     assert totals(summed, "k") == {
         1: (Decimal("-0.0002"), 3),
         2: (None, 1),
@@ -41,7 +41,7 @@ amounts = st.lists(
 @given(amounts)
 def test_adding_up_in_steps_equals_one_sum(spark, rows):
     df = spark.createDataFrame(rows, "fine int, amount bigint")
-    fine = add_up(as_summable(df, "fine", F.col("amount")), "fine")
+    fine = sum_rows(df, "fine", F.col("amount"))
     coarse = add_up(fine.withColumn("coarse", F.col("fine") % 3), "coarse")
 
     expected = {}
