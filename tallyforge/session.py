@@ -1,30 +1,20 @@
-"""Spark session settings used by the bench and the tests."""
+"""Spark session of the bench and the tests; a cluster brings its own."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Runtime settings that hold at any size. Everything that depends on the
-# cluster (memory, cores, executors) is left to spark-submit.
-BASE_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-}
-
 
 def local_session(cores: int | str = "*", **overrides: str) -> SparkSession:
     """Session on one machine; ``overrides`` uses ``__`` for the dots of a key."""
-    builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName("tallyforge")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
-    )
-    for key, value in BASE_CONF.items():
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.session.timeZone": "UTC",
+    }
+    settings |= {key.replace("__", "."): value for key, value in overrides.items()}
+    builder = SparkSession.builder.master(f"local[{cores}]").appName("tallyforge")
+    for key, value in settings.items():
         builder = builder.config(key, value)
-    for key, value in overrides.items():
-        builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

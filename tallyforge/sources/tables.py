@@ -6,6 +6,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Column types of the tables the queries read. Declared, a table costs no job to
+# open. Whole numbers are declared bigint, as which files of int can be read too;
+# a file whose types cannot be read as these fails.
+SCHEMAS = {
+    "region": "r_regionkey bigint, r_name string",
+    "nation": "n_nationkey bigint, n_name string, n_regionkey bigint",
+    "customer": """
+        c_custkey bigint, c_name string, c_nationkey bigint, c_acctbal double, c_mktsegment string
+    """,
+    "orders": """
+        o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string
+    """,
+    "lineitem": """
+        l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber bigint,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+        l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz
+    """,
+}
+
 
 @dataclass(frozen=True)
 class ParquetTables:
@@ -15,4 +35,5 @@ class ParquetTables:
     root: str
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        reader = self.spark.read.schema(SCHEMAS[name])
+        return reader.parquet(f"{self.root.rstrip('/')}/{name}.parquet")

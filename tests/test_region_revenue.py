@@ -154,6 +154,14 @@ def test_same_result_whatever_joins_spark_picks(spark, duck, conf, adaptive, thr
     assert result(spark, ROOT) == sorted(duck(ROOT, contract.oracle_sql()[NAME]).fetchall())
 
 
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Tokyo"])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_same_result_in_any_time_zone_and_mode(spark, conf, zone, ansi):
+    expected = result(spark, ROOT)
+    conf(spark__sql__session__timeZone=zone, spark__sql__ansi__enabled=ansi)
+    assert result(spark, ROOT) == expected
+
+
 @pytest.fixture
 def hot(spark, tmp_path):
     """The given tables, with a third of the lines on one order of the year and
