@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import exact_dedup
+from tallyforge.llm import exact_dedup, packing, resharding
 from tallyforge.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack(documents, public_tokenizers.path(TOKENIZER))
+
+
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Documents lie by source, which leaves one shard with a third of them.
+    documents = table(spark, sf_dir, "documents")
+    by_source = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(16))
+    return resharding.digest(resharding.reshard(documents, by_source))
+
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -14,6 +30,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op8_resharding": op8_resharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
