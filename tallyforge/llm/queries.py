@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import exact_dedup, packing, resharding
+from tallyforge.llm import decontamination, exact_dedup, packing, resharding
 from tallyforge.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents, public_tokenizers.path(TOKENIZER))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Documents lie by source, which leaves one shard with a third of them.
     documents = table(spark, sf_dir, "documents")
@@ -31,10 +37,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op5_decontamination": op5_decontamination,
     "op8_resharding": op8_resharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES = {
+    "op5_decontamination": decontamination.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
