@@ -6,7 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, exact_dedup, packing, resharding
+from tallyforge.llm import (
+    decontamination,
+    exact_dedup,
+    language_mix,
+    packing,
+    resharding,
+    url_filter,
+)
 from tallyforge.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.predict(table(spark, sf_dir, "documents"))
+
+
 def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Documents lie by source, which leaves one shard with a third of them.
     documents = table(spark, sf_dir, "documents")
@@ -35,11 +46,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(*exact_dedup.QUERY_COLUMNS)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(url_filter.word_labels(pages)))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op5_decontamination": op5_decontamination,
+    "op7_language_mix": op7_language_mix,
     "op8_resharding": op8_resharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
