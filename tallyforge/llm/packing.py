@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.tokens import ID_BYTES, ChunkIds
+from tallyforge.llm.tokens import ID_BYTES, text_ids
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -175,7 +175,7 @@ def pack(
     ending = end_id.to_bytes(ID_BYTES, "little")
 
     def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkIds(tokenizer_path)
+        tokenizer = text_ids(tokenizer_path)
         pool = Pool(tiers)
         writer = _Writer(TaskContext.get().partitionId(), step_tokens)
         full: list[tuple[int, list[tuple]]] = []
@@ -201,7 +201,7 @@ def pack(
                     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = chunks.of_text(text.as_py()) + ending
+                ids = tokenizer.of_text(text.as_py()) + ending
                 document = (doc_id.as_py(), ids)
                 n = len(ids) // ID_BYTES
                 whole = n - n % longest
