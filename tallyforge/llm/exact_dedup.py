@@ -117,7 +117,8 @@ def build_index(documents: DataFrame, keys: DataFrame, bucket_keys: int = BUCKET
     ``chain`` numbers the texts that share a key, from 0.
     """
     slots, depth = directory(keys, bucket_keys)
-    texts = distinct_texts(documents)
+    # Written first: dealing by ranges reads its input twice.
+    texts = written(distinct_texts(documents), "exact_texts")
     owned = texts.repartitionByRange(task_count(documents.sparkSession), "key")
     chained = owned.withColumn(
         "chain",
