@@ -31,7 +31,7 @@ from tallyforge.llm.common import text_or_empty, written
 
 SHARDS = 16
 # Average rows of a block.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 5_000
 # Sizes of a class lie within a factor of 2 ** CLASS_BITS.
 CLASS_BITS = 3
 # The graph is solved on the driver, so old shards are bounded.
