@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm import (
     decontamination,
     exact_dedup,
+    html_text,
     language_mix,
     packing,
+    quality,
     resharding,
     url_filter,
 )
@@ -19,11 +21,19 @@ from tallyforge.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return packing.pack(documents, public_tokenizers.path(TOKENIZER))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -52,7 +62,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op5_decontamination": op5_decontamination,
     "op7_language_mix": op7_language_mix,
     "op8_resharding": op8_resharding,
