@@ -10,6 +10,7 @@ from tallyforge.llm import (
     decontamination,
     exact_dedup,
     html_text,
+    jaccard_join,
     language_mix,
     packing,
     quality,
@@ -34,6 +35,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.component_ids(found)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -65,6 +71,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op7_language_mix": op7_language_mix,
     "op8_resharding": op8_resharding,
