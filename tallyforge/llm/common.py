@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     This cuts the lineage: a lost executor costs no more than reading the files
@@ -34,10 +34,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tallyforge/{uuid.uuid4().hex}/{name}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -447,6 +447,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, **settings) -> Dat
     )
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """``documents`` without those that repeat a benchmark window.
+
+    Documents that share an id with a contaminated one go with it.
+    """
+    found = contamination(documents, benchmark, **settings).filter("contaminated")
+    gone = found.select(F.col("doc_id").alias("_gone_id")).distinct()
+    return documents.join(
+        gone, documents["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti"
+    )
+
+
 ORACLE_SQL = """
     WITH item_words AS (
         SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

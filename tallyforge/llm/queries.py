@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import (
+    chunk_dedup,
     decontamination,
     exact_dedup,
     html_text,
@@ -46,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mix.predict(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op7_language_mix": op7_language_mix,
     "op8_resharding": op8_resharding,
     "op9_exact_dedup": op9_exact_dedup,
