@@ -1,8 +1,60 @@
-"""Placeholder until the stages' operators are there."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it
+kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.llm import decontamination, exact_dedup, jaccard_join, packing, quality
+from tallyforge.llm.common import table, written
+
+TOKENIZER = "word_bpe_49k.json"
+
+# A scorer is fitted and sequences are packed; SQL expresses neither.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier does not reject."""
+    return quality.drop_rejected(docs)
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def jaccard_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near duplication the one with the least id."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no window of a benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_deduplication),
+    ("jaccard_join", jaccard_deduplication),
+    ("decontamination", benchmark_decontamination),
+    ("packing", sequence_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
