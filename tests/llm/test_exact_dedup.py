@@ -1,0 +1,71 @@
+import hashlib
+from collections import defaultdict
+
+import llm_data
+from tallyforge.llm import exact_dedup
+
+
+def expected(rows):
+    groups = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        groups[text or ""].append(doc_id)
+    out = []
+    for doc_id, text, *_ in rows:
+        ids = groups[text or ""]
+        keep = max((i for i in ids if i is not None), default=None)
+        digest = hashlib.sha256((text or "").encode()).hexdigest()
+        out.append((doc_id, keep, len(ids), doc_id == keep, digest))
+    return sorted(out, key=repr)
+
+
+def test_groups_are_those_of_brute_force(spark):
+    got = exact_dedup.exact_groups(llm_data.documents(spark)).select(*exact_dedup.QUERY_COLUMNS)
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(llm_data.awkward_rows())
+
+
+def test_buckets_split_until_they_fit(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) as key")
+    slots, depth = exact_dedup.directory(keys, bucket_keys=64)
+    rows = slots.collect()
+    counts = defaultdict(int)
+    bucket_of = {r.slot: (r.local_depth, r.bucket) for r in rows}
+    for r in keys.collect():
+        counts[bucket_of[(r.key % 2**64) >> (64 - depth)]] += 1
+    assert sum(counts.values()) == 5000
+    assert max(counts.values()) <= 64
+    for local_depth, bucket in counts:
+        # A bucket exists only because the one twice as wide was overfull.
+        parent = sum(
+            n for (d, b), n in counts.items() if d >= local_depth and
+            b >> (d - local_depth + 1) == bucket >> 1
+        )
+        assert local_depth == 0 or parent > 64
+
+
+def test_colliding_keys_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "_key", lambda text: F.lit(7).cast("bigint"))
+    got = exact_dedup.exact_groups(llm_data.documents(spark))
+    rows = got.select(*exact_dedup.QUERY_COLUMNS).collect()
+    assert sorted(map(tuple, rows), key=repr) == expected(llm_data.awkward_rows())
+    distinct = {t or "" for _, t, *_ in llm_data.awkward_rows()}
+    assert {r.chain for r in got.collect()} == set(range(len(distinct)))
+
+
+def test_one_row_of_each_text_stays(spark):
+    docs = llm_data.documents(spark)
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    texts = [r.text or "" for r in kept.collect()]
+    assert sorted(texts) == sorted({t or "" for _, t, *_ in llm_data.awkward_rows()})
+
+
+def test_empty_table(spark):
+    assert exact_dedup.exact_groups(llm_data.empty(spark)).count() == 0
+    assert exact_dedup.drop_copies(llm_data.empty(spark)).count() == 0
+
+
+def test_main_path_is_native(spark, plan_of):
+    plan = plan_of(exact_dedup.distinct_texts(llm_data.documents(spark, clashing=False)))
+    assert "Python" not in plan and "Arrow" not in plan

@@ -1,0 +1,95 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import llm_data
+from tallyforge.llm import packing
+from tallyforge.llm.tokens import text_ids
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed(docs, **settings):
+    return packing.pack(docs, PATH, **settings).collect()
+
+
+def check(rows, texts, longest=4096):
+    """Every id in one piece, sequences gapless and full. ``texts`` by id."""
+    tokenizer = Tokenizer.from_file(PATH)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert set(pieces) == set(texts)
+    for doc_id, text in texts.items():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+        at = 0
+        for r in sorted(pieces[doc_id], key=lambda r: r.start):
+            part = np.array(ids[at : at + r.length], dtype="<u4").tobytes()
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(part))
+            at += r.length
+        assert at == len(ids)
+    for members in sequences.values():
+        at = 0
+        for r in sorted(members, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at == members[0].window <= longest
+        assert at & (at - 1) == 0
+
+
+def test_awkward_documents(spark):
+    rows = [(i, t, None, None) for i, (_, t, *_) in enumerate(llm_data.awkward_rows())]
+    check(packed(llm_data.documents(spark, rows)), {i: t for i, t, *_ in rows})
+
+
+@pytest.mark.parametrize("flush", [1, 3000, 1 << 20])
+def test_given_documents(spark, flush):
+    docs = spark.read.parquet(f"{llm_data.SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    check(packed(docs, flush_tokens=flush), texts)
+
+
+def test_short_tiers_fill_gaps(spark):
+    docs = spark.read.parquet(f"{llm_data.SMALL}/documents.parquet")
+    sequences = defaultdict(list)
+    for r in packed(docs):
+        sequences[r.sequence_id].append(r)
+    long = [m for m in sequences.values() if m[0].window == 4096]
+    assert any(len(m) > 1 for m in long)
+    assert len({m[0].window for m in sequences.values()}) >= 4
+
+
+def test_step_groups_are_balanced():
+    sizes = [4096] * 30 + [2048] * 21 + [1024] * 50 + [512] * 60
+    groups = packing.step_groups(sizes, 32768)
+    totals = defaultdict(int)
+    for size, group in zip(sizes, groups):
+        totals[group] += size
+    assert max(totals.values()) - min(totals.values()) <= 512
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = packed(llm_data.documents(spark, [(5, "a b", None, None)] * 3 + [(None, "c", None, None)]))
+    tokens = defaultdict(int)
+    for r in rows:
+        tokens[r.doc_id] += r.length
+    assert tokens == {5: 3 * 3, None: 2}
+
+
+def test_empty_table(spark):
+    assert packed(llm_data.empty(spark)) == []
+
+
+def test_ids_are_the_tokenizers(spark):
+    tokenizer, own = Tokenizer.from_file(PATH), text_ids(PATH)
+    odd = ["a\x1cb c\x85d e\xa0f", "ΑΣ Σας", "İstanbul ı", "I'm IT'S we'LL", "½ ²x ªº µm", "ﬁ Å Å",
+           "'''s''t", "\x00\x01 \x7f", "÷ÿ×", "123abc45 $$$%%%", "<|startoftext|>a<|endoftext|>",
+           "﻿x", "e ́a", "日本 語"]
+    for text in odd + [t or "" for _, t, *_ in llm_data.awkward_rows()]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.of_text(text), dtype="<u4").tolist() == ids, text[:40]
