@@ -448,15 +448,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, **settings) -> Dat
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``documents`` without those that repeat a benchmark window.
-
-    Documents that share an id with a contaminated one go with it.
-    """
-    found = contamination(documents, benchmark, **settings).filter("contaminated")
-    gone = found.select(F.col("doc_id").alias("_gone_id")).distinct()
-    return documents.join(
-        gone, documents["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti"
+    """``documents`` without those that repeat a benchmark window."""
+    # Texts tell documents apart whose ids are equal or null.
+    text_hash = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
+    keyed = documents.select(
+        F.struct("doc_id", text_hash.alias("text_hash")).alias("doc_id"), "text"
+    )
+    gone = (
+        contamination(keyed, benchmark, **settings)
+        .filter("contaminated")
+        .select(
+            F.col("doc_id.doc_id").alias("_gone_id"), F.col("doc_id.text_hash").alias("_gone_text")
+        )
+        .distinct()
     )
+    same = documents["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_hash == F.col("_gone_text"))
+    return documents.join(gone, same, "left_anti")
 
 
 ORACLE_SQL = """

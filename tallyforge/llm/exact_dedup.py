@@ -153,11 +153,26 @@ def exact_groups(documents: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFr
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
-    """``documents`` with one document of each text, the one with the largest id."""
-    kept = exact_groups(documents).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return documents.join(
-        kept.distinct(), documents["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi"
-    )
+    """``documents`` with one document of each text, the one with the largest id.
+
+    Of rows that repeat id and text one stays, any of them.
+    """
+    ids = exact_groups(documents).filter("kept")
+    # Texts tell documents apart whose ids are equal or null.
+    kept = written(
+        ids.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_rows")), "exact_kept"
+    ).select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"), "_rows")
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        same = documents["doc_id"].eqNullSafe(F.col("_kept_id")) & (
+            F.sha2(text_or_empty().cast("binary"), 256) == F.col("_kept_text")
+        )
+        return documents.join(kept, same, "left_semi")
+
+    once, repeated = kept.filter("_rows = 1"), kept.filter("_rows > 1")
+    if repeated.isEmpty():
+        return rows_of(kept)
+    return rows_of(once).unionByName(rows_of(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 QUERY_COLUMNS = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
