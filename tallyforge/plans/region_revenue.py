@@ -21,30 +21,36 @@ def region_revenue(tables: ParquetTables, start: str, end: str) -> DataFrame:
     table's unique key, so a key that holds a large share of the rows meets no
     task with more than one row per map task for it. No join is hinted: Spark
     broadcasts a side only if its size is under autoBroadcastJoinThreshold.
+
+    Orders of other periods are summed too before they drop out. Spark's runtime
+    filter keeps most of them out of the shuffle where its settings let it; the
+    README has the figures.
     """
     # The columns are timestamps without zone; a plain literal would cast them
     # and keep the filter out of the Parquet scan.
     ordered = F.col("o_orderdate")
     orders = (
-        tables["orders"]
+        tables.read("orders", "o_orderkey", "o_custkey", "o_orderdate")
         .filter(ordered >= F.lit(start).cast("timestamp_ntz"))
         .filter(ordered < F.lit(end).cast("timestamp_ntz"))
     )
     per_order = sum_rows(
-        tables["lineitem"],
+        tables.read("lineitem", "l_orderkey", "l_extendedprice", "l_discount"),
         "l_orderkey",
         discounted_amount(F.col("l_extendedprice"), F.col("l_discount")),
     )
     per_customer = add_up(
         per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey"
     )
+    customer = tables.read("customer", "c_custkey", "c_nationkey")
+    nation = tables.read("nation", "n_nationkey", "n_regionkey")
+    region = tables.read("region", "r_regionkey", "r_name")
     per_nation = add_up(
-        per_customer.join(tables["customer"], F.col("o_custkey") == F.col("c_custkey")),
-        "c_nationkey",
+        per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey")), "c_nationkey"
     )
     per_region = add_up(
-        per_nation.join(tables["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(
-            tables["region"], F.col("n_regionkey") == F.col("r_regionkey")
+        per_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+            region, F.col("n_regionkey") == F.col("r_regionkey")
         ),
         "r_name",
     )

@@ -1,3 +1,3 @@
-from tallyforge.sources.tables import ParquetTables
+from tallyforge.sources.tables import MissingColumns, ParquetTables
 
-__all__ = ["ParquetTables"]
+__all__ = ["MissingColumns", "ParquetTables"]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-# Column types of the tables the queries read. Declared, a table costs no job to
-# open. Whole numbers are declared bigint, as which files of int can be read too;
-# a file whose types cannot be read as these fails.
+# Column types of the tables the queries read. Whole numbers are declared bigint, as
+# which files of int can be read too; a file whose types cannot be read as these
+# fails.
 SCHEMAS = {
     "region": "r_regionkey bigint, r_name string",
     "nation": "n_nationkey bigint, n_name string, n_regionkey bigint",
@@ -27,13 +28,31 @@ SCHEMAS = {
 }
 
 
+class MissingColumns(ValueError):
+    """A table lacks columns that a query needs."""
+
+
 @dataclass(frozen=True)
 class ParquetTables:
-    """Reads ``<root>/<name>.parquet``, a file or a folder of files."""
+    """Reads ``<root>/<name>.parquet``, a file or a folder of files.
+
+    Columns that are declared but not stored would be read as nulls, so the stored
+    ones are looked up first, in the footer of one file. The files of a folder must
+    have the same columns; one that lacks a column the others have gives nulls.
+    """
 
     spark: SparkSession
     root: str
 
+    def read(self, name: str, *columns: str) -> DataFrame:
+        """The named columns of a table; raises if one is not stored."""
+        path = f"{self.root.rstrip('/')}/{name}.parquet"
+        stored = set(self.spark.read.parquet(path).columns)
+        missing = [c for c in columns if c not in stored]
+        if missing:
+            raise MissingColumns(f"table {name} at {path} has no column {', '.join(missing)}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(path).select(*columns)
+
     def __getitem__(self, name: str) -> DataFrame:
-        reader = self.spark.read.schema(SCHEMAS[name])
-        return reader.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        """All declared columns of a table."""
+        return self.read(name, *StructType.fromDDL(SCHEMAS[name]).names)
