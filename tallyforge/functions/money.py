@@ -16,12 +16,16 @@ def hundredths(value: Column, precision: int) -> Column:
     Spark casts a double to a decimal by way of its text, which costs far more
     than the rest of the row. A double that already lies at a whole number of
     hundredths cannot round to any other, so only the rest take the cast. NaN,
-    infinity and values out of range are among the rest, so they give null or
-    fail just as the cast does.
+    infinity and values that round out of range are among the rest, so they give
+    null or fail just as the cast does.
+
+    Values that are no whole hundredths round half up by their decimal text, so
+    1.005 gives 101, although the double lies a little under it. Engines that round
+    the double itself give 100.
     """
     scaled = value * 100
     nearest = F.rint(scaled)
-    is_whole = (F.abs(scaled - nearest) < 1e-3) & (F.abs(value) < 10.0 ** (precision - 2))
+    is_whole = (F.abs(scaled - nearest) < 1e-3) & (F.abs(nearest) < 10.0**precision)
     rounded = value.cast(f"decimal({precision},2)") * 100
     return F.when(is_whole, nearest.cast("bigint")).otherwise(rounded.cast("bigint"))
 

@@ -54,7 +54,9 @@ def test_any_cents_are_kept(spark, cents):
     check_as_cast(spark, [c / 100 for c in cents], 12)
 
 
-@pytest.mark.parametrize("value", [1e10, -1e10, 9999999999.999])
+@pytest.mark.parametrize(
+    "value", [1e10, -1e10, 9999999999.999, 9999999999.999998, -9999999999.999998]
+)
 def test_out_of_range_fails_as_the_cast_does(spark, value):
     df = doubles(spark, [value])
     with pytest.raises(ArithmeticException):
@@ -63,6 +65,21 @@ def test_out_of_range_fails_as_the_cast_does(spark, value):
         df.select(hundredths(F.col("v"), 12)).collect()
 
 
+@pytest.mark.parametrize("value", [99.999995, -99.999995, 99.995, 100.0])
+def test_out_of_range_of_a_rate_fails_as_the_cast_does(spark, value):
+    df = doubles(spark, [value])
+    with pytest.raises(ArithmeticException):
+        df.select(F.col("v").cast("decimal(4,2)")).collect()
+    with pytest.raises(ArithmeticException):
+        df.select(hundredths(F.col("v"), 4)).collect()
+
+
+def test_parts_of_a_cent_round_half_up_by_their_text(spark):
+    values = [1.005, -1.005, 2.675, 0.015, 1.0049999, 8.345]
+    rows = doubles(spark, values).select(hundredths(F.col("v"), 12).alias("h")).collect()
+    assert [r.h for r in rows] == [101, -101, 268, 2, 100, 835]
+
+
 def test_no_number_gives_null_as_the_cast_does(spark):
     values = [float("inf"), float("-inf"), float("nan")]
     check_as_cast(spark, values, 12)
