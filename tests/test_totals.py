@@ -1,5 +1,6 @@
 from decimal import Decimal
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -32,6 +33,29 @@ def test_negative_and_null_amounts(spark):
     }
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("part", ["amount_high", "amount_low", "n"])
+def test_a_sum_out_of_range_raises(spark, conf, ansi, part):
+    conf(spark__sql__ansi__enabled=ansi)
+    parts = {"amount_high": 1, "amount_low": 1, "n": 1} | {part: 2**62}
+    df = spark.createDataFrame(
+        [(1, *parts.values())] * 2, "k int, amount_high bigint, amount_low bigint, n bigint"
+    )
+    assert totals(add_up(df.limit(1), "k"), "k")[1][1] == parts["n"]
+    with pytest.raises(Exception, match="out of the range of bigint"):
+        add_up(df, "k").collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_adding_up_keeps_nulls(spark, conf, ansi):
+    conf(spark__sql__ansi__enabled=ansi)
+    df = spark.createDataFrame(
+        [(1, None, None, 2), (1, None, None, 3), (2, None, None, 1), (2, 0, 5, 1)],
+        "k int, amount_high bigint, amount_low bigint, n bigint",
+    )
+    assert totals(add_up(df, "k"), "k") == {1: (None, 5), 2: (Decimal("0.0005"), 2)}
+
+
 amounts = st.lists(
     st.tuples(st.integers(0, 9), st.integers(-(2**62), 2**62)), min_size=1, max_size=60
 )
