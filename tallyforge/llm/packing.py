@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.tokens import ID_BYTES, text_ids
+from tallyforge.llm.tokens import ID_BYTES, TextIds
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -175,7 +175,7 @@ def pack(
     ending = end_id.to_bytes(ID_BYTES, "little")
 
     def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = text_ids(tokenizer_path)
+        tokenizer = TextIds(tokenizer_path)
         pool = Pool(tiers)
         writer = _Writer(TaskContext.get().partitionId(), step_tokens)
         full: list[tuple[int, list[tuple]]] = []

@@ -10,7 +10,6 @@ tokenizer as it is.
 
 from __future__ import annotations
 
-import functools
 import struct
 
 import regex
@@ -90,9 +89,3 @@ class TextIds:
     def of_text(self, text: str | None) -> bytes:
         """All ids of a text; none for null or an empty text."""
         return b"".join(map(self._chunk, (text or "").encode().split()))
-
-
-@functools.lru_cache(maxsize=1)
-def text_ids(path: str) -> TextIds:
-    """The tokenizer at ``path``, kept for further tasks of the same worker."""
-    return TextIds(path)

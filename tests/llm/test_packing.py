@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import llm_data
 from tallyforge.llm import packing
-from tallyforge.llm.tokens import text_ids
+from tallyforge.llm.tokens import TextIds
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -86,7 +86,7 @@ def test_empty_table(spark):
 
 
 def test_ids_are_the_tokenizers(spark):
-    tokenizer, own = Tokenizer.from_file(PATH), text_ids(PATH)
+    tokenizer, own = Tokenizer.from_file(PATH), TextIds(PATH)
     odd = ["a\x1cb c\x85d e\xa0f", "ΑΣ Σας", "İstanbul ı", "I'm IT'S we'LL", "½ ²x ªº µm", "ﬁ Å Å",
            "'''s''t", "\x00\x01 \x7f", "÷ÿ×", "123abc45 $$$%%%", "<|startoftext|>a<|endoftext|>",
            "﻿x", "e ́a", "日本 語"]
