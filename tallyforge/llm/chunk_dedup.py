@@ -210,7 +210,7 @@ def candidates(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
 
 
 def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull(), "doc_id", "row_id", "start")
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "start")
 
 
 def repeated_chunks(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -220,10 +220,12 @@ def repeated_chunks(documents: DataFrame, least_words: int = LEAST_WORDS) -> Dat
     start of the chunk's run.
     """
     chunks = candidates(documents, least_words)
-    firsts = (
+    # Written, so that the join shuffles both sides and splits a hot digest.
+    firsts = written(
         chunks.groupBy("digest")
         .agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
+        .filter("n > 1"),
+        "chunk_firsts",
     )
     repeated = chunks.join(firsts, "digest").select(
         "row_id", "doc_id", "start", "end", "words",
@@ -280,14 +282,17 @@ def drop_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
     )
     schema = documents.schema
-    wide = documents.join(later.withColumnRenamed("doc_id", "_gone_id"),
-                          F.col("doc_id") == F.col("_gone_id"), "left")
+    later = later.withColumnRenamed("doc_id", "_gone_id")
+    # Rows go through the join as one column, so that no name can clash.
+    rows = documents.select(F.struct(*schema.names).alias("_row"))
+    wide = rows.join(later, F.col("_row.doc_id") == F.col("_gone_id"), "left")
+    wide = wide.select("_gone", "_row")
     text_at = schema.names.index("text")
 
     def cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, gone in zip(batch.column("text"), batch.column("_gone")):
+            texts, columns = [], batch.column(1).flatten()
+            for text, gone in zip(columns[text_at], batch.column(0)):
                 if gone.is_valid:
                     data, kept, at = text.as_py().encode(), [], 0
                     for span in gone.as_py():
@@ -297,8 +302,7 @@ def drop_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
                     texts.append(b"".join(kept).decode())
                 else:
                     texts.append(text.as_py())
-            columns = [batch.column(i) for i in range(len(schema))]
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return wide.select(*schema.names, "_gone").mapInArrow(cut_task, schema)
+    return wide.mapInArrow(cut_task, schema)
