@@ -155,7 +155,8 @@ class Page:
         for depth in range(len(self._stack) - 1, 0, -1):
             tag = self.tags[self._stack[depth]]
             if tag in names:
-                self._flush()
+                if any(self.tags[i] in BLOCKS for i in self._stack[depth:]):
+                    self._flush()
                 while len(self._stack) > depth:
                     self._pop()
                 return

@@ -1,0 +1,109 @@
+import html
+import random
+
+import pytest
+
+import llm_data
+from tallyforge.llm import html_text
+from tallyforge.llm.html_text import main_text
+
+LONG = "This is a sentence of the article, which has commas, words, and some length to it."
+
+BOILERPLATE = [
+    '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>',
+    "<header><p>Site of many things, with a slogan, and more, and more of it</p></header>",
+    f'<aside class="box"><p>{LONG}</p></aside>',
+    f'<div class="sidebar-left"><p>{LONG} {LONG}</p></div>',
+    f'<div id="cookieNotice"><p>{LONG}</p></div>',
+    f'<div class="ad ad-top"><p>{LONG} {LONG} {LONG}</p></div>',
+    f'<form action="/s"><p>{LONG}</p><input name=q><button>Go</button></form>',
+    f'<section id="comments"><article class="comment"><p>{LONG} {LONG}</p></article></section>',
+    f'<script>var p = "<p>{LONG}</p>";</script><style>p{{color:red}}</style>',
+    f"<!-- <p>{LONG}</p> --><noscript><p>{LONG}</p></noscript>",
+    f'<div role="navigation"><p>{LONG}</p></div>',
+    f'<div style="display: none"><p>{LONG}</p></div>',
+    "<footer><p>&copy; all of us, here, and there, in every year</p></footer>",
+]
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>T, t, t</title></head><body>{body}</body></html>"
+
+
+@pytest.mark.parametrize("seed", range(20))
+@pytest.mark.parametrize("around", ["article", "main", 'div class="post-content"', "div"])
+def test_article_among_boilerplate(seed, around):
+    rng = random.Random(seed)
+    blocks = ["A heading"] + [
+        " ".join([LONG] * rng.randint(1, 4) + [f"Ünïq & <{i}>"]) for i in range(rng.randint(2, 6))
+    ]
+    inner = f"<h1>{html.escape(blocks[0])}</h1>"
+    for b in blocks[1:]:
+        shown = html.escape(b).replace(" ", rng.choice([" ", "\n  ", "&nbsp; ", "<b></b> "]), 3)
+        inner += f"<p>{shown}" + rng.choice(["</p>", "", "<br>"])
+    extra = rng.sample(BOILERPLATE, 6)
+    inside = rng.choice(BOILERPLATE[2:7])
+    tag = around.split()[0]
+    body = "".join(extra[:3]) + f"<{around}>{inner}{inside}</{tag}>" + "".join(extra[3:])
+    assert main_text(page(body)) == "\n".join(blocks)
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("   ", ""),
+        ("plain text, no tags &amp; all", "plain text, no tags & all"),
+        ("<p>one<p>two", "one\ntwo"),
+        ("<article><p>a<br>b</p></article>", "a b"),
+        ("<article><p>x <script>y</script>z</article>", "x z"),
+        ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
+        ("<article><p>&lt;b&gt; &#233; &#x4E2D; &eacute &bogus;</p></article>", "<b> é 中 é &bogus;"),
+        ("<p>5 < 6 and <b>bold</i></b> end", "5 < 6 and bold end"),
+        ('<p><a title="x > y">link</a> and more text here', "link and more text here"),
+        ("<p>open <!-- never closed <p>gone", "open"),
+        ("<p>a<script>never closed <p>gone", "a"),
+        ("</div></p></article><p>stray", "stray"),
+        ('<body class="has-sidebar"><p>kept</p></body>', "kept"),
+        ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+        ("<nav>only menus</nav>", ""),
+        ("<article></article>", ""),
+    ],
+)
+def test_odd_pages(source, text):
+    assert main_text(source) == text
+
+
+def test_deep_and_long_pages_are_read_whole():
+    deep = "<div>" * 20000 + "<p>bottom</p>"
+    assert main_text(deep) == "bottom"
+    many = "<article>" + "<p>word, word</p>" * 20000 + "</article>"
+    assert main_text(many).count("\n") == 19999
+    assert len(main_text("<article><p>" + "x" * 3_000_000)) == 3_000_000
+    assert main_text("<a " + "'" * 50001) is not None
+
+
+def test_table(spark):
+    rows = [(1, "u", "<article><p>ü\n text</article>"), (1, "u", None), (None, None, "")]
+    pages = spark.createDataFrame(
+        [(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, n_chars string"
+    )
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(1, "u", "ü text", 6), (1, "u", "", 0), (None, None, "", 0)], key=repr
+    )
+    assert html_text.extract(pages.filter("false")).count() == 0
+
+
+def test_given_pages_give_their_articles(spark):
+    import re
+
+    pages = spark.read.parquet(f"{llm_data.SMALL}/pages.parquet")
+    texts = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        inner = r.html.split("<article>", 1)[1].split("</article>", 1)[0]
+        blocks = [re.sub("<[^>]*>", " ", b) for b in re.split(r"</?(?:p|h1)>", inner)]
+        expected = [" ".join(html.unescape(b).split()) for b in blocks]
+        assert texts[r.page_id] == "\n".join(b for b in expected if b)
