@@ -1,0 +1,95 @@
+import math
+import re
+
+import pytest
+
+from tallyforge.llm import url_filter as uf
+
+URLS = [
+    None, "", "no scheme", "http://", "http://a.net", "http://a.net/", "https://NET/x?y", "http://net?x",
+    "http://www.example.net/en/1", "http://example.net/en", "http://xexample.net/en/1?a=b#c",
+    "http://example.com/de/", "http://m.example.com/de/x", "http://example.com/deu", "ftp://org/fr/?q",
+    "http://a.org#/fr/", "HTTP://Ä.ORG/fr/z", "http://a.net:80/x", "http://u@b.net/", "x://y://net/",
+    "http://a.b.c.example.org/fr/1/2/3?a=1&b=2#f", "http://casino-win.example.org/en/1", "http://a.net/" + "x" * 5000,
+]
+
+
+def brute(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    best = None
+    for _, rule in uf.RULES:
+        rule_host, slash, rule_path = rule.partition("/")
+        if (host == rule_host or host.endswith("." + rule_host)) and path.startswith(slash + rule_path):
+            if best is None or len(rule) > len(best):
+                best = rule
+    return host, path, best
+
+
+def test_rules_are_those_of_brute_force(spark):
+    rows = [(i, u, "h", "p") for i, u in enumerate(URLS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string")
+    verdicts = dict((rule, verdict) for verdict, rule in uf.RULES)
+    for r in uf.judge(pages, uf.UrlModel(None, [], 0.0)).collect():
+        assert (r.host, r.path, r.rule) == brute(URLS[r.page_id])
+        assert r.verdict == verdicts.get(r.rule, "allow")
+
+
+def test_features(spark):
+    rows = [(0, "https://ab-1.example.org/x/y9?a=1&b=2#t")]
+    pages = uf.parsed(spark.createDataFrame(rows, "page_id long, url string"))
+    r = pages.select(*[c.alias(n) for n, c in uf.lexical_features().items()]).first()
+    host = "ab-1.example.org"
+    entropy = -sum(
+        host.count(c) / len(host) * math.log2(host.count(c) / len(host)) for c in set(host)
+    )
+    assert r.f_host_entropy == pytest.approx(entropy)
+    assert (r.f_length, r.f_depth, r.f_parameters, r.f_fragment) == (39, 2, 2, 1)
+    assert (r.f_host_labels, r.f_host_hyphens, r.f_host_digits, r.f_longest_label) == (3, 1, 1, 7)
+    assert r.f_digit_ratio == pytest.approx(4 / 39)
+
+
+def test_unseen_hosts_are_judged(spark):
+    paths = [f"/en/{'7' * (i % 6)}{'?x=1' * (i % 2)}{'#top' * (i % 3 == 0)}" for i in range(60)]
+    bad = ["casino-win", "m.cheap-pills", "www.spam-farm", "adult-x"]
+    good = ["therha", "blog.ththan", "www.tionble", "m.therwhation"]
+    train = [(f"http://{w}.example.com{p}", 1) for p in paths for w in bad]
+    train += [(f"http://{w}.example.com{p}", 0) for p in paths for w in good]
+    model = uf.fit(spark.createDataFrame(train, "url string, label int"))
+    pages = spark.createDataFrame(
+        [(1, "http://free-bets.example.com/en/7?x=7"), (2, "http://thtion.example.com/en/3")],
+        "page_id long, url string",
+    )
+    assert {r.page_id: r.verdict for r in uf.judge(pages, model).collect()} == {1: "block", 2: "allow"}
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = uf.judge(pages, uf.fit(uf.word_labels(pages))).collect()
+    assert len(rows) == pages.count()
+    own = [r for r in rows if r.rule is None]
+    bad = re.compile(r"(^|[.-])(ads|adult|bets|casino|pills|spam|track)([.-]|$)")
+    right = sum((r.verdict == "block") == bool(bad.search(r.host)) for r in own)
+    assert right / len(own) > 0.97
+
+
+def test_few_or_no_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/"), (None, None)], "page_id long, url string")
+    labelled = spark.createDataFrame([("http://a.com", 1), (None, 0), ("b", None)], "url string, label int")
+    assert {r.verdict for r in uf.judge(pages, uf.fit(labelled)).collect()} == {"block"}
+    none = uf.fit(labelled.filter("false"))
+    assert {r.verdict for r in uf.judge(pages, none).collect()} == {"allow"}
+    assert uf.judge(pages.filter("false"), none).count() == 0
+
+
+def test_awkward_urls_with_trees(spark):
+    labelled = spark.createDataFrame(
+        [("http://spam-x.com/", 1), ("http://good.org/", 0)] * 5 + [("", 0)], "url string, label int"
+    )
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    rows = uf.judge(pages, uf.fit(labelled)).collect()
+    assert len(rows) == len(URLS) and {r.verdict for r in rows} <= {"allow", "block"}
