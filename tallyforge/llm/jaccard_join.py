@@ -13,16 +13,18 @@ among the first D + 1 of each. A set therefore goes to the join with its first D
 sketches and no link is lost. The number of blocks belongs to a band of sizes; a set
 near a band's end joins in the next band too.
 
-**Order.** Sketches that very many sets have come last, so that sets which share
-only a common passage do not meet. Which sketches these are is counted beforehand;
-any choice is right, so the list of them may be bounded.
+**Order.** Blocks with more shingles come first: two sets agree in such a block by
+sharing all of them. Sketches that very many sets have come last, so that sets which
+share only a common passage do not meet. Which sketches these are is counted
+beforehand; any choice is right, so the list of them may be bounded.
 
 **Verification.** Sets with equal shingles are one node. In every group of nodes that
 share a sketch all are compared with one, the least. Where this leaves a group in
 several components, the pairs across components are compared: directly in small
-groups, in tiles of sketch bits in large ones, where the Hamming distance of two
-bit sketches rules out pairs. So a group of copies costs its size, and no group
-lists all its pairs. What is compared in the end is the shingles' hashes.
+groups, in tiles in large ones. So a group of copies costs its size, and no group
+lists all its pairs. Pairs are first held against bit sketches, the parities of
+shingles in a number of bits, whose Hamming distance is a lower bound of the sets'
+difference as well; for the few that pass, the shingles' hashes are compared.
 
 A-Z are lower-cased; words are split at ASCII white space. A text of fewer than five
 words has one shingle, all of it; one without words, or null, has none, and is linked
@@ -50,7 +52,10 @@ from tallyforge.llm.components import components
 SHINGLE_WORDS = 5
 # Sizes of a band lie within this factor.
 BAND_FACTOR = 4
-LEAST_BLOCKS = 1024
+# A block for so many shingles of the largest set of its band. It must leave sets more
+# filled blocks than shingles that may differ, 2 / 7 of a set; 2.4 leaves 0.38.
+BLOCK_SHINGLES = 2.4
+LEAST_BLOCKS = 128
 # Sketches that come last in the order: at most so many, each of so many sets.
 COMMON_SKETCHES = 1 << 18
 COMMON_FROM = 32
@@ -61,8 +66,10 @@ REPORT_FROM = 3
 MAP_BITS = 1 << 26
 # Groups up to this size are compared pair by pair, larger ones in tiles.
 SMALL_GROUP = 32
-TILE = 1024
-BIT_SKETCH_WORDS = 32
+TILE = 2048
+# Of its large groups each node knows so many, to leave a pair to the first they share.
+KNOWN_GROUPS = 8
+LEAST_BITS = 256
 
 _M1, _M2, _M3 = (np.uint64(m) for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
 
@@ -74,16 +81,76 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[list(b" \t\n\v\f\r")] = True
+
+
+def _byte_values() -> np.ndarray:
+    """A random odd value for each byte, the same for both cases of A-Z."""
+    values = np.random.default_rng(11).integers(0, 1 << 63, 256).astype(np.uint64)
+    values = values * np.uint64(2) + np.uint64(1)
+    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    return values
+
+
+_BYTE_VALUES = _byte_values()
+
+
+class _Powers:
+    """Powers of an odd number modulo 2 ** 64, and those of its inverse, as far as needed."""
+
+    def __init__(self, base: int):
+        self._bases = np.array([base, pow(base, -1, 1 << 64)], dtype=np.uint64)
+        self._table = np.ones((2, 1), dtype=np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if self._table.shape[1] < n:
+            table = np.repeat(self._bases[:, None], 2 * n, axis=1)
+            table[:, 0] = 1
+            self._table = np.multiply.accumulate(table, axis=1)
+        return self._table
+
+
+_POWERS = _Powers(0xD6E8FEB86659FD93)
+# Bytes that are hashed at once; the powers take 32 times as many.
+HASHED_AT_ONCE = 1 << 20
+
+
+def _piece_hashes(data: np.ndarray) -> np.ndarray:
+    space = _SPACES[data]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverses = _POWERS.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * powers[: len(data)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * inverses[starts])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word, A-Z lower-cased: a polynomial in its bytes, mixed."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    if len(data) <= HASHED_AT_ONCE:
+        return _piece_hashes(data)
+    # Long texts are cut at white space.
+    parts, low = [], 0
+    gaps = np.flatnonzero(_SPACES[data])
+    while low < len(data):
+        at = np.searchsorted(gaps, low + HASHED_AT_ONCE)
+        high = int(gaps[at]) + 1 if at < len(gaps) else len(data)
+        parts.append(_piece_hashes(data[low:high]))
+        low = high
+    return np.concatenate(parts)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    h = word_hashes(text or "")
+    if not len(h):
         return np.zeros(0, dtype=np.uint64)
-    if len(words) < SHINGLE_WORDS:
-        whole = xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))
+    if len(h) < SHINGLE_WORDS:
+        whole = xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))
         return _mixed(np.array([whole], dtype=np.uint64))
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    n = len(words) - SHINGLE_WORDS + 1
+    n = len(h) - SHINGLE_WORDS + 1
     rolled = h[:n].copy()
     for offset in range(1, SHINGLE_WORDS):
         rolled = rolled * _M3 + h[offset : offset + n]
@@ -101,26 +168,57 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
+def _blocks(end: int) -> int:
+    return max(LEAST_BLOCKS, int(end / BLOCK_SHINGLES))
+
+
 def _bands(n: int) -> list[tuple[int, int, int]]:
     """Bands in which a set of size ``n`` joins: ``(number, blocks, largest difference)``."""
     band, end = 0, BAND_FACTOR
     while n >= end:
         band, end = band + 1, end * BAND_FACTOR
     largest = 4 * n // 3
-    bands = [(band, max(end, LEAST_BLOCKS), (n + min(largest, end - 1)) // 7)]
+    bands = [(band, _blocks(end), (n + min(largest, end - 1)) // 7)]
     if largest >= end:
-        bands.append((band + 1, max(end * BAND_FACTOR, LEAST_BLOCKS), (n + largest) // 7))
+        bands.append((band + 1, _blocks(end * BAND_FACTOR), (n + largest) // 7))
     return bands
 
 
 def _sketches(shingles: np.ndarray, band: int, blocks: int) -> np.ndarray:
-    """Sketches of the filled blocks, in the order of blocks, marked by block and band."""
+    """Sketches of the filled blocks, those of more shingles first, then by block.
+
+    They are marked by block and band.
+    """
     # The leading bits choose the block, so sorted shingles are sorted by block.
     block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    parity = np.bitwise_xor.reduceat(_mixed(shingles), first)
+    parity = np.bitwise_xor.reduceat(shingles, first)
     of_band = np.uint64((band + 1) * int(_M2) % (1 << 64))
-    return _mixed(parity + block[first] * _M3 + of_band)
+    sketches = _mixed(parity + block[first] * _M3 + of_band)
+    filled = np.diff(np.append(first, len(shingles)))
+    return sketches[np.argsort(-filled, kind="stable")]
+
+
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles in eight times as many bits or more, a power of two."""
+    bits = max(LEAST_BITS, 1 << (8 * len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bit sketch brought to a smaller size; so is every row of a table of them."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def bit_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two bit sketches, a lower bound of the sets' difference."""
+    left, right = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    size = min(len(left), len(right))
+    return int(np.bitwise_count(folded(left, size) ^ folded(right, size)).sum())
 
 
 @dataclass
@@ -162,13 +260,14 @@ def _text_hash() -> Column:
 def survey(documents: DataFrame) -> DataFrame:
     """A shared table: sizes and digests of all sets, and sketches that tasks saw often.
 
-    ``doc_id, text_hash, n_shingles, set_id`` of every document in rows whose
+    ``doc_id, text_hash, n_shingles, set_id, bits`` of every document in rows whose
     ``sketch`` is null; ``sketch, n_sets`` in the others.
     """
     narrow = documents.select("doc_id", _text_hash(), "text")
     schema = T.StructType([narrow.schema["doc_id"]])
     for name in ("text_hash", "n_shingles", "set_id", "sketch", "n_sets"):
         schema = schema.add(name, "long")
+    schema = schema.add("bits", "binary")
 
     def survey_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -181,17 +280,19 @@ def survey(documents: DataFrame) -> DataFrame:
             waiting.clear()
             none = pa.nulls(len(seen), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(seen), id_type), none, none, none, _signed(seen), pa.array(n)],
+                [pa.nulls(len(seen), id_type), none, none, none, _signed(seen), pa.array(n)]
+                + [pa.nulls(len(seen), pa.binary())],
                 schema.names,
             )
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            sizes, digests = [], []
+            sizes, digests, bits = [], [], []
             for text in batch.column("text"):
                 shingles = shingle_set(text.as_py())
                 sizes.append(len(shingles))
                 digests.append(set_id(shingles) if len(shingles) else None)
+                bits.append(bit_sketch(shingles) if len(shingles) else None)
                 if len(shingles):
                     for band, blocks, _ in _bands(len(shingles)):
                         waiting.append(_sketches(shingles, band, blocks))
@@ -202,7 +303,7 @@ def survey(documents: DataFrame) -> DataFrame:
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64())]
-                + [pa.array(digests, pa.int64()), none, none],
+                + [pa.array(digests, pa.int64()), none, none, pa.array(bits, pa.binary())],
                 schema.names,
             )
         if waiting:
@@ -308,8 +409,38 @@ def shared_keys(documents: DataFrame, order: Order) -> DataFrame:
     return written(rows.join(shared, "key", "left_semi"), "key_members")
 
 
+def node_bits(surveyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``set_id, bits`` of the nodes, as a shared table."""
+    found = surveyed.filter("set_id is not null").select("set_id", "bits")
+    wanted = nodes.select("set_id").distinct()
+    return written(
+        found.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("bits").alias("bits")),
+        "node_bits",
+    )
+
+
+def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, n_a, b, n_b`` that bit sketches allow to be alike.
+
+    Returns ``a, b`` as a shared table.
+    """
+    both = pairs.join(bits.select(F.col("set_id").alias("a"), F.col("bits").alias("bits_a")), "a")
+    both = both.join(bits.select(F.col("set_id").alias("b"), F.col("bits").alias("bits_b")), "b")
+
+    def distance_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, bits_a, bits_b = (batch.column(c).to_pylist() for c in range(2, 6))
+            near = [
+                7 * bit_distance(x, y) <= n + m for n, m, x, y in zip(n_a, n_b, bits_a, bits_b)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    columns = both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return written(columns.mapInArrow(distance_task, "a bigint, b bigint"), "possible_pairs")
+
+
 def node_sets(documents: DataFrame, surveyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``set_id, n, shingles`` of the nodes, the hashes as bytes, as a shared table.
+    """``set_id, shingles`` of the nodes, the hashes as bytes, as a shared table.
 
     Every node is read from one of its texts, which a task finds by its hash.
     """
@@ -332,31 +463,26 @@ def node_sets(documents: DataFrame, surveyed: DataFrame, nodes: DataFrame) -> Da
                     seen.add(text_hash)
                     shingles = shingle_set(batch.column("text")[i].as_py())
                     if len(shingles):
-                        rows.append((text_hash, set_id(shingles), len(shingles), shingles.tobytes()))
+                        rows.append((text_hash, set_id(shingles), shingles.tobytes()))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                    ["text_hash", "set_id", "n", "shingles"],
+                    ["text_hash", "set_id", "shingles"],
                 )
 
     found = documents.select(_text_hash(), "text").mapInArrow(
-        set_task, "text_hash bigint, set_id bigint, n bigint, shingles binary"
+        set_task, "text_hash bigint, set_id bigint, shingles binary"
     )
     exact = found.join(texts, ["text_hash", "set_id"], "left_semi")
-    return written(
-        exact.groupBy("set_id", "n").agg(F.min("shingles").alias("shingles")), "node_sets"
-    )
+    return written(exact.groupBy("set_id").agg(F.min("shingles").alias("shingles")), "node_sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(documents: DataFrame, surveyed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs ``a, b`` that are alike, with ``jaccard``, as a shared table."""
-    sized = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a")), "a").join(
-        sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b")), "b"
-    )
-    # Sizes alone rule a pair out.
-    fit = sized.filter("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a").select("a", "b")
-    both = fit.join(
+    nodes = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+    sets = node_sets(documents, surveyed, nodes)
+    both = pairs.join(
         sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a")), "a"
     ).join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b")), "b")
 
@@ -378,60 +504,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.mapInArrow(verify_task, "a bigint, b bigint, jaccard double"), "links")
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of shingles in so many bits; sets differ in at least as many shingles as
-    their bit sketches differ in bits."""
-    place = _mixed(shingles ^ _M1) & np.uint64(64 * BIT_SKETCH_WORDS - 1)
-    odd = np.flatnonzero(np.bincount(place.astype(np.int64), minlength=64 * BIT_SKETCH_WORDS) & 1)
-    words = np.zeros(BIT_SKETCH_WORDS, dtype=np.uint64)
-    np.bitwise_or.at(words, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
-    return words
-
-
-def _with_bits(sets: DataFrame) -> DataFrame:
-    """``set_id, bits``: the nodes' bit sketches."""
-
-    def bits_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [
-                bit_sketch(np.frombuffer(s.as_py(), dtype=np.uint64)).tobytes()
-                for s in batch.column("shingles")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("set_id"), pa.array(bits, pa.binary())], ["set_id", "bits"]
-            )
-
-    return sets.select("set_id", "shingles").mapInArrow(bits_task, "set_id bigint, bits binary")
-
-
 def _tile_pairs(tile: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a tile across components whose bit sketches allow them to be alike.
 
     Rows of side 0 are compared with those of side 1, or with each other where the
-    tile is on the diagonal and has side 0 alone.
+    tile is on the diagonal and has side 0 alone. A pair that is seen to share an
+    earlier group is left to that group.
     """
+    key = tile["key"].iloc[0]
+    earlier = np.full((len(tile), KNOWN_GROUPS), key)
+    for i, known in enumerate(tile["known"]):
+        earlier[i, : len(known)] = known
+    tile = tile.assign(at=np.arange(len(tile)))
     left = tile[tile["side"] == 0]
     right = tile[tile["side"] == 1]
     right = left if right.empty else right
-    bits = np.stack([np.frombuffer(b, dtype=np.uint64) for b in right["bits"]])
+    size = min(map(len, tile["bits"]))
+    bits = np.stack([folded(np.frombuffer(b, dtype=np.uint8), size) for b in right["bits"]])
     n_right, roots = right["n"].to_numpy(), right["root"].to_numpy()
-    ids = right["set_id"].to_numpy()
+    ids, places = right["set_id"].to_numpy(), right["at"].to_numpy()
     found = []
     for row in left.itertuples(index=False):
         possible = (roots != row.root) & (4 * n_right >= 3 * row.n) & (3 * n_right <= 4 * row.n)
         at = np.flatnonzero(possible)
         if len(at):
-            own = np.frombuffer(row.bits, dtype=np.uint64)
+            own = folded(np.frombuffer(row.bits, dtype=np.uint8), size)
             distance = np.bitwise_count(bits[at] ^ own).sum(axis=1)
             at = at[7 * distance <= n_right[at] + row.n]
-            found += [(min(row.set_id, i), max(row.set_id, i)) for i in ids[at].tolist()]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+            before = earlier[row.at][earlier[row.at] < key]
+            at = at[~np.isin(earlier[places[at]], before).any(axis=1)]
+            for other, n in zip(ids[at].tolist(), n_right[at].tolist()):
+                found.append(min((row.set_id, row.n, other, n), (other, n, row.set_id, row.n)))
+    return pd.DataFrame(sorted(set(found)), columns=["a", "n_a", "b", "n_b"]).astype("int64")
 
 
-def remaining_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining_pairs(members: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs that share a key, are in different components and were not compared yet.
 
-    ``members`` are ``key, set_id, n``; a key's least node was compared with all.
+    Returns ``a, n_a, b, n_b``. ``members`` are ``key, set_id, n``; a key's least node was compared with all.
     """
     placed = (
         members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -459,33 +569,39 @@ def remaining_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Da
     direct = (
         small.join(other, "key")
         .filter("set_id < set_id_2 and root != root_2 and 4 * n >= 3 * n_2 and 4 * n_2 >= 3 * n")
-        .select(F.col("set_id").alias("a"), F.col("set_id_2").alias("b"))
-    )
+        .select(
+            F.col("set_id").alias("a"), F.col("n").alias("n_a"),
+            F.col("set_id_2").alias("b"), F.col("n_2").alias("n_b"),
+        )
+    )
     # Large groups: every member goes to the tiles of its row and column.
+    of_large = open_rows.filter(F.col("members") > SMALL_GROUP)
+    # No more than a set's own sketches are gathered here.
+    known = of_large.groupBy("set_id").agg(
+        F.slice(F.sort_array(F.collect_set("key")), 1, KNOWN_GROUPS).alias("known")
+    )
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     own = F.pmod(F.xxhash64("set_id"), tiles).cast("int")
-    each = F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with")
-    large = (
-        open_rows.filter(F.col("members") > SMALL_GROUP)
-        .select("key", "set_id", "n", "root", own.alias("own"), each)
+    tiled = (
+        of_large.join(bits, "set_id")
+        .join(known, "set_id")
+        .withColumn("own", own)
+        .withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select(
-            "key", "set_id", "n", "root",
+            "key", "set_id", "n", "root", "bits", "known",
             F.least("own", "with").alias("row"),
             F.greatest("own", "with").alias("column"),
             F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
         )
-    )
-    tiled = (
-        large.join(_with_bits(sets), "set_id")
         .groupBy("key", "row", "column")
-        .applyInPandas(_tile_pairs, "a bigint, b bigint")
-    )
+        .applyInPandas(_tile_pairs, "a bigint, n_a bigint, b bigint, n_b bigint")
+    )
     return direct.union(tiled).distinct()
 
 
 @dataclass
 class NearDuplicates:
-    """``members``: ``doc_id, n_shingles, set_id, component`` of every document, where
+    """``members``: ``doc_id, text_hash, n_shingles, set_id, component`` of every document;
     documents of equal shingles have one ``set_id``; ``links``: ``a, b, jaccard`` between
     set ids, enough of them to connect every component."""
 
@@ -497,54 +613,66 @@ def near_duplicates(documents: DataFrame) -> NearDuplicates:
     surveyed = survey(documents)
     order = common_order(surveyed)
     members = shared_keys(documents, order)
-    sets = node_sets(documents, surveyed, members)
+    bits = node_bits(surveyed, members)
 
-    least = members.groupBy("key").agg(F.min("set_id").alias("a"))
+    least = members.groupBy("key").agg(F.min(F.struct("set_id", "n")).alias("least"))
     stars = (
         members.join(least, "key")
-        .filter("set_id != a")
-        .select("a", F.col("set_id").alias("b"))
+        .select(
+            F.col("least.set_id").alias("a"), F.col("least.n").alias("n_a"),
+            F.col("set_id").alias("b"), F.col("n").alias("n_b"),
+        )
+        .filter("a != b and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
         .distinct()
-    )
-    star_links = verified(stars, sets)
-    rest = remaining_pairs(members, components(star_links), sets)
-    links = star_links.union(verified(rest, sets))
+    )
+    star_links = verified(documents, surveyed, possible(stars, bits))
+    rest = possible(remaining_pairs(members, components(star_links), bits), bits)
+    links = star_links.union(verified(documents, surveyed, rest))
     roots = components(links)
     documents_of = (
         surveyed.filter("sketch is null")
-        .select("doc_id", "n_shingles", "set_id")
+        .select("doc_id", "text_hash", "n_shingles", "set_id")
         .join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .select("doc_id", "n_shingles", "set_id", F.coalesce("root", "set_id").alias("component"))
-    )
+        .select(
+            "doc_id", "text_hash", "n_shingles", "set_id",
+            F.coalesce("root", "set_id").alias("component"),
+        )
+    )
     return NearDuplicates(written(documents_of, "near_members"), links)
 
 
-def component_ids(found: NearDuplicates) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: the least document id of each component."""
+def _with_least_ids(found: NearDuplicates) -> DataFrame:
+    """The members with ``component_id``, the least document id of their component."""
     members = found.members
     least = (
         members.filter("component is not null")
         .groupBy("component")
         .agg(F.min("doc_id").alias("least_id"))
     )
-    joined = members.join(least, "component", "left")
-    return joined.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("component").isNull(), F.col("doc_id"))
-        .otherwise(F.col("least_id"))
-        .alias("component_id"),
+    alone = F.col("component").isNull()
+    return members.join(least, "component", "left").withColumn(
+        "component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id"))
     )
 
 
+def component_ids(found: NearDuplicates) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: the least document id of each component."""
+    return _with_least_ids(found).select("doc_id", "n_shingles", "component_id")
+
+
 def drop_near_copies(documents: DataFrame) -> DataFrame:
     """``documents`` with one of each component, the one with the least id.
 
-    Documents without shingles stay, and so do those of components without any id.
+    Documents without shingles stay, and so do all of a component without any id.
+    Rows that repeat the id that stays with another text of its component stay too.
     """
-    ids = component_ids(near_duplicates(documents))
-    dropped = ids.filter("component_id != doc_id or (doc_id is null and component_id is not null)")
-    gone = dropped.select(F.col("doc_id").alias("_gone_id")).distinct()
-    return documents.join(
-        gone, documents["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti"
+    gone = (
+        _with_least_ids(near_duplicates(documents))
+        .filter("component_id is not null and not doc_id <=> component_id")
+        .select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"))
+        .distinct()
+    )
+    same = documents["doc_id"].eqNullSafe(F.col("_gone_id")) & (
+        F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_gone_text")
     )
+    return documents.join(gone, same, "left_anti")
