@@ -14,12 +14,14 @@ _own_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors and the driver see: ``spark.checkpoint.dir``.
 
-    Only where the session has none, as in tests on one machine, a folder of
-    its own is made, one per application.
+    Only where the session has none and runs on one machine, as in tests, a folder
+    of its own is made, one per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="tallyforge-")

@@ -12,7 +12,7 @@ a window near each other, in any order.
 
 The benchmark is searched in blocks of a bounded number of words, so what is sent
 to the tasks has a bound whatever the size of the benchmark. A segment stores the
-terms of the block that is to be searched, or all terms if none are named.
+terms of the block where there is one block, and else all terms.
 
 A-Z are lower-cased; a word is a run of other characters than the ASCII ones that
 are neither letters nor digits. A null or empty text has no words. Documents are
@@ -39,7 +39,7 @@ from tallyforge.llm.common import written
 WINDOW_WORDS = 10
 SEGMENT_WORDS = 1_000_000
 # Words of benchmark items that are searched at once.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000
 # Proximity: so many of a window's rarest terms, within so many words of the rarest.
 NEAR_TERMS = 4
 NEAR_WORDS = 16
@@ -217,15 +217,17 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Blo
         yield block
 
 
-def term_counts(index: DataFrame) -> dict[bytes, int]:
-    """How often each stored term stands in the corpus; bounded by the terms stored."""
+def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
+    """How often each of the terms stands in the corpus, if it does."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[bytes, int] = {}
         for batch in batches:
-            for terms, each in zip(batch.column(0), batch.column(1)):
-                for term, n in zip(terms.as_py(), np.frombuffer(each.as_py(), dtype="<i4")):
-                    totals[term] = totals.get(term, 0) + int(n)
+            for names, each in zip(batch.column(0), batch.column(1)):
+                for term, n in zip(names.as_py(), np.frombuffer(each.as_py(), dtype="<i4")):
+                    if term in shared.value:
+                        totals[term] = totals.get(term, 0) + int(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(totals.keys(), pa.binary()), pa.array(totals.values(), pa.int64())],
             ["term", "n"],
@@ -343,7 +345,7 @@ def search(
     match one after the other are one row of kind ``phrase``. With ``near_terms``,
     windows without any phrase match in a segment add rows of kind ``proximity``.
     """
-    query = Query.of(block, term_counts(index), window_words)
+    query = Query.of(block, term_counts(index, block.terms()), window_words)
     shared = index.sparkSession.sparkContext.broadcast(query)
 
     def spans(names, counts, places) -> Iterator[tuple]:
@@ -407,13 +409,15 @@ def find(
     :func:`search`; a document has the same segment and ordinal in both.
     """
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    indexed = matches = None
-    for block in blocks(benchmark, block_words):
-        index = build_index(documents, block.terms(), segment_words)
+    rest = blocks(benchmark, block_words)
+    block, following = next(rest), next(rest, None)
+    index = build_index(documents, None if following else block.terms(), segment_words)
+    matches = None
+    while block:
         found = search(index, block, item_type, window_words, near_terms, near_words)
-        indexed = indexed or indexed_documents(index)
         matches = matches.unionByName(found) if matches else found
-    return indexed, matches
+        block, following = following, next(rest, None)
+    return indexed_documents(index), matches
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
