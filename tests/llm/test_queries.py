@@ -7,6 +7,10 @@ import pytest
 
 import corpus_pipeline
 import llm_data
+import test_decontamination
+import test_jaccard_join
+import test_packing
+from tallyforge.llm import quality
 from tallyforge.llm.common import shared_folder, written
 from tallyforge.llm.queries import ORACLES, QUERIES
 
@@ -71,6 +75,32 @@ def test_pipeline_by_stages(spark):
     assert {r.doc_id for r in pieces} == kept
 
 
+def test_pipeline_is_that_of_brute_force(spark):
+    root = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{root}/benchmark.parquet").select("item_id", "text").collect()]
+    # What the fitted scorer rejects is taken from it; the rest is worked out here.
+    good = {r.doc_id for r in quality.classify(docs).filter("kept").collect()}
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect() if r.doc_id in good]
+    last = {}
+    for doc_id, text in sorted(rows):
+        last[text or ""] = (doc_id, text)
+    rows = sorted(last.values())
+    _, component = test_jaccard_join.brute(rows)
+    rows = [r for i, r in enumerate(rows) if component[i] == i]
+    hits = test_decontamination.brute(rows, items)
+    clean = {doc_id for doc_id, *_, hit in hits if not hit}
+    expected = {doc_id: text for doc_id, text in rows if doc_id in clean}
+    assert 0 < len(expected) < len(component) < docs.count()
+    test_packing.check(corpus_pipeline.run(spark, root).collect(), expected)
+
+
+def test_near_duplicates_of_the_given_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{llm_data.SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op4_jaccard_join"](spark, llm_data.SMALL).collect()
+    assert sorted(map(tuple, got), key=repr) == test_jaccard_join.expected(rows)
+
+
 def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
     root = str(tmp_path)
     benchmark = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
