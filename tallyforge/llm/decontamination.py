@@ -280,10 +280,19 @@ class Query:
                 lists[t] = places[low:high]
         return lists
 
-    def possible(self, lists: list) -> np.ndarray:
-        """Windows all of whose terms are in the segment."""
+    def possible(self, lists: list, terms: np.ndarray) -> np.ndarray:
+        """Windows all of whose ``terms`` are in the segment."""
         present = np.array([x is not None for x in lists[:-1]] + [True])
-        return np.flatnonzero(present[self.windows].all(axis=1))
+        return np.flatnonzero(present[terms].all(axis=1))
+
+    def rarest(self, n_terms: int) -> np.ndarray:
+        """The distinct rarest terms of each window, -1 where there are fewer."""
+        chosen = np.full((len(self.windows), n_terms), -1, dtype=np.int64)
+        for row in range(len(chosen)):
+            terms = self.windows[row, self.order[row, : self.lengths[row]]].tolist()
+            own = list(dict.fromkeys(terms))[:n_terms]
+            chosen[row, : len(own)] = own
+        return chosen
 
     def phrase(self, window: int, lists: list) -> np.ndarray:
         """Places at which a window's words stand in a row."""
@@ -298,13 +307,20 @@ class Query:
             starts = starts[places[at] == wanted]
         return starts
 
-    def near(self, window: int, lists: list, n_terms: int, n_words: int) -> tuple:
-        """First and last place of groups of the window's rarest terms near the rarest."""
-        offsets = self.order[window, : self.lengths[window]]
-        chosen = list(dict.fromkeys(self.windows[window, offsets].tolist()))[:n_terms]
+    def near(self, window: int, lists: list, chosen: np.ndarray, n_words: int) -> tuple:
+        """First and last place of groups of chosen terms near the first of them.
+
+        Where the window itself stands as a phrase is left out.
+        """
         anchors = lists[chosen[0]]
+        whole = all(lists[t] is not None for t in self.windows[window, : self.lengths[window]])
+        starts = self.phrase(window, lists) if whole else anchors[:0]
+        if len(starts):
+            at = np.maximum(np.searchsorted(starts, anchors, side="right") - 1, 0)
+            apart = (anchors < starts[at]) | (anchors >= starts[at] + self.lengths[window])
+            anchors = anchors[apart]
         first, last = anchors.copy(), anchors.copy()
-        for term in chosen[1:]:
+        for term in chosen[1:][chosen[1:] >= 0]:
             places = lists[term]
             at = np.searchsorted(places, anchors)
             after = places[np.minimum(at, len(places) - 1)]
@@ -343,30 +359,33 @@ def search(
 
     ``start`` and ``end`` are word numbers in the document. Windows of an item that
     match one after the other are one row of kind ``phrase``. With ``near_terms``,
-    windows without any phrase match in a segment add rows of kind ``proximity``.
+    places where so many of a window's rarest terms are near each other, but not the
+    window itself, add rows of kind ``proximity``.
     """
     query = Query.of(block, term_counts(index, block.terms()), window_words)
     shared = index.sparkSession.sparkContext.broadcast(query)
 
-    def spans(names, counts, places) -> Iterator[tuple]:
+    def spans(rarest, names, counts, places) -> Iterator[tuple]:
         query = shared.value
         lists = query.lists(names, counts, places)
-        for window in query.possible(lists):
+        for window in query.possible(lists, query.windows):
             starts = query.phrase(window, lists).astype(np.int64)
             for item in query.holders[window] if len(starts) else ():
                 yield "phrase", item, starts, starts + query.lengths[window]
-            if near_terms and not len(starts):
-                first, last = query.near(window, lists, near_terms, near_words)
-                for item in query.holders[window] if len(first) else ():
-                    yield "proximity", item, first.astype(np.int64), last.astype(np.int64) + 1
+        for window in query.possible(lists, rarest) if near_terms else ():
+            first, last = query.near(window, lists, rarest[window], near_words)
+            for item in query.holders[window] if len(first) else ():
+                yield "proximity", item, first.astype(np.int64), last.astype(np.int64) + 1
 
     def search_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_ids = pa.array(shared.value.item_ids)
+        rarest = shared.value.rarest(near_terms) if near_terms else None
         for batch in batches:
             for segment, starts, names, counts, places in zip(*(batch.column(c) for c in range(5))):
                 starts = np.frombuffer(starts.as_py(), dtype="<i4").astype(np.int64)
                 by_kind: dict[str, list] = {}
                 found = spans(
+                    rarest,
                     names.as_py(),
                     np.frombuffer(counts.as_py(), dtype="<i4"),
                     np.frombuffer(places.as_py(), dtype="<i4"),

@@ -86,14 +86,24 @@ def test_proximity(spark):
     item = "red orange yellow green blue indigo violet black white grey"
     near = "filler grey then white then black and violet end"
     far = "grey " + "filler " * 40 + "white " + "filler " * 40 + "black " + "filler " * 40 + "violet"
-    rows = [(1, near), (2, far), (3, "filler " * 50)]
-    table = llm_data.documents(spark, [(*r, None, None) for r in rows])
+    # The other words of the item are common, so the four are the rarest.
+    rest = " ".join(w + " filler" * 20 for w in item.split()[:6] * 5)
+    rows = [(1, near), (2, far), (3, rest), (4, item + " and so on")]
+    table = llm_data.documents(spark, [(*r, None, None) for r in rows]).coalesce(1)
     benchmark = spark.createDataFrame([(9, item)], "item_id long, text string")
-    # Words absent from the corpus rule a window out, so all of them occur somewhere.
-    table = table.unionByName(llm_data.documents(spark, [(4, w, None, None) for w in item.split()]))
-    indexed, matches = dc.find(table, benchmark, near_terms=4, near_words=16)
-    found = matches.join(indexed, ["segment", "ordinal"]).collect()
-    assert {(r.doc_id, r.kind) for r in found} <= {(1, "proximity")}
+
+    def found(**settings):
+        indexed, matches = dc.find(table, benchmark, **settings)
+        rows = matches.join(indexed, ["segment", "ordinal"]).collect()
+        return {(r.doc_id, r.kind, r.start, r.end) for r in rows}
+
+    assert found() == {(4, "phrase", 0, 10)}
+    both = {(4, "phrase", 0, 10), (1, "proximity", 1, 8)}
+    assert found(near_terms=4, near_words=16) == both
+    assert found(near_terms=4, near_words=16, segment_words=1) == both
+    table = table.filter("doc_id != 4")
+    assert found(near_terms=4, near_words=16) == {(1, "proximity", 1, 8)}
+    assert found(near_terms=4, near_words=3) == set()
 
 
 def test_empty_tables(spark):
