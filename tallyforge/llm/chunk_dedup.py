@@ -23,6 +23,7 @@ comes after all others. Extra columns are ignored. An empty table gives no runs.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from tallyforge.llm.jaccard_join import bit_map, in_bit_map
 
 # A cut where so many leading bits are zero: one in 16 places.
 CUT_BITS = 4
+# Of the 16 values of these bits so many make a lesser cut.
+LESSER = 4
 LEAST_BYTES = 8
 MOST_BYTES = 64
 # Words in a run that make it a passage. A passage of 50 words keeps about 40 of them
@@ -74,14 +77,24 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     starts_character = np.ones(n + 1, dtype=bool)
     starts_character[:-1] = (data & 0xC0) != 0x80
-    natural = np.flatnonzero(gear_hashes(data) >> np.uint16(16 - CUT_BITS) == 0) + 1
-    natural = natural[starts_character[natural]]
+    leading = gear_hashes(data) >> np.uint16(16 - CUT_BITS)
+
+    def cuts(where: np.ndarray) -> list[int]:
+        places = np.flatnonzero(where) + 1
+        return places[starts_character[places]].tolist()
+
+    # Where no cut comes in time, the last of the lesser ones before is taken, so that
+    # long chunks follow the content as well.
+    lesser = cuts(leading < LESSER)
     ends, last = [], 0
-    for cut in [*natural.tolist(), n]:
+    for cut in [*cuts(leading == 0), n]:
         while cut - last > MOST_BYTES:
-            forced = last + MOST_BYTES
-            while not starts_character[forced]:
-                forced += 1
+            at = bisect_right(lesser, last + MOST_BYTES) - 1
+            forced = lesser[at] if at >= 0 else 0
+            if forced - last < LEAST_BYTES:
+                forced = last + MOST_BYTES
+                while not starts_character[forced]:
+                    forced += 1
             if forced >= cut:
                 break
             ends.append(forced)
