@@ -139,6 +139,22 @@ def test_sets_fill_more_blocks_than_may_differ(n):
             assert len(jj._sketches(s, band, blocks)) > 2 * n // 7
 
 
+@pytest.mark.parametrize("n", [4, 7, 15, 16, 31, 63, 64, 65, 130, 255, 256, 500, 1100, 3000])
+def test_pairs_at_the_threshold_share_a_key(n):
+    rng = np.random.default_rng(n)
+    nothing = jj.Order(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    for _ in range(20):
+        s = rng.permutation(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)))
+        common = -(-3 * len(s) // 4)
+        own = common + rng.integers(0, len(s) - common + 1)
+        a, b = np.sort(s[:own]), np.sort(np.concatenate((s[:common], s[own:])))
+        # Any list of common sketches in any order will do.
+        some = np.concatenate([jj._sketches(a, band, blocks) for band, blocks, _ in jj._bands(len(a))])
+        some = np.sort(rng.permutation(some)[: len(some) // 2])
+        for order in (nothing, jj.Order(some, rng.permutation(len(some)))):
+            assert len(np.intersect1d(jj.join_keys(a, order), jj.join_keys(b, order)))
+
+
 def test_bit_map_misses_nothing(spark):
     from pyspark.sql import functions as F
 
