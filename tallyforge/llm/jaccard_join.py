@@ -162,10 +162,10 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a Jaccard similarity of 0.75 or more."""
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two sets."""
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= 75 * (len(a) + len(b) - common)
+    return common, len(a) + len(b) - common
 
 
 def _blocks(end: int) -> int:
@@ -492,9 +492,9 @@ def verified(documents: DataFrame, surveyed: DataFrame, pairs: DataFrame) -> Dat
             for a, b, set_a, set_b in zip(*(batch.column(c) for c in ("a", "b", "set_a", "set_b"))):
                 left = np.frombuffer(set_a.as_py(), dtype=np.uint64)
                 right = np.frombuffer(set_b.as_py(), dtype=np.uint64)
-                if alike(left, right):
-                    common = len(np.intersect1d(left, right, assume_unique=True))
-                    rows.append((a, b, common / (len(left) + len(right) - common)))
+                common, union = overlap(left, right)
+                if 100 * common >= 75 * union:
+                    rows.append((a, b, common / union))
             if rows:
                 a, b, jaccard = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -644,10 +644,12 @@ def near_duplicates(documents: DataFrame) -> NearDuplicates:
 def _with_least_ids(found: NearDuplicates) -> DataFrame:
     """The members with ``component_id``, the least document id of their component."""
     members = found.members
-    least = (
+    # Written, so that the join shuffles both sides and splits a large component.
+    least = written(
         members.filter("component is not null")
         .groupBy("component")
-        .agg(F.min("doc_id").alias("least_id"))
+        .agg(F.min("doc_id").alias("least_id")),
+        "least_ids",
     )
     alone = F.col("component").isNull()
     return members.join(least, "component", "left").withColumn(
