@@ -106,8 +106,8 @@ def _names(attributes: str) -> tuple[bool, bool]:
         else:
             for part in unescape(value).split():
                 words = [w.lower() for w in _NAME_WORDS.findall(part)]
-                for word, before in zip(words, [None, *words]):
-                    if before in NEGATIONS:
+                for word, before, after in zip(words, [None, *words], [*words[1:], None]):
+                    if before in NEGATIONS or after == "free":
                         break
                     bad = bad or word in BAD_WORDS
                     good = good or word in GOOD_WORDS

@@ -66,6 +66,7 @@ def test_article_among_boilerplate(seed, around):
         ("<p>a<script>never closed <p>gone", "a"),
         ("</div></p></article><p>stray", "stray"),
         ('<body class="has-sidebar"><p>kept</p></body>', "kept"),
+        ('<div class="ad-free text"><p>kept too</p></div>', "kept too"),
         ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
         ("<nav>only menus</nav>", ""),
         ("<article></article>", ""),
