@@ -10,12 +10,13 @@ tokenizer as it is.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import regex
 
 # Entries that a memory takes before it starts anew; as many older ones stay.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 # Longer chunks hardly repeat.
 LONGEST_REMEMBERED = 64
 
@@ -23,6 +24,8 @@ ID_BYTES = 4
 
 # The tokenizer's pattern of words.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The same on ASCII text in lower case, where it is faster.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 # Characters that the tokenizer's normalizer changes in no way but to lower case.
 _PLAIN = regex.compile(r"[\x21-\x7EÀ-ÿ]+")
 
@@ -53,8 +56,12 @@ class _Memory(dict):
         return value
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return _PACKERS[n](*ids) if n < len(_PACKERS) else struct.pack(f"<{n}I", *ids)
 
 
 class TextIds:
@@ -72,16 +79,18 @@ class TextIds:
                 word = word.encode().decode("latin-1").translate(characters)
             return _packed([token.id for token in merge(word)])
 
-        plain = _PLAIN.fullmatch
-        cut = _WORDS.findall
+        plain, cut, cut_ascii = _PLAIN.fullmatch, _WORDS.findall, _ASCII_WORDS.findall
         words = _Memory(word_ids).__getitem__
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        special = regex.compile("|".join(map(regex.escape, specials)) or r"(?!)").search
 
         def chunk_ids(chunk: bytes) -> bytes:
             text = chunk.decode()
-            if plain(text) and not special(text):
-                return b"".join(map(words, cut(text.lower())))
+            in_ascii = text.isascii()
+            if text.isprintable() if in_ascii else plain(text):
+                if text.isalpha():
+                    return words(text.lower())
+                if not any(s in text for s in specials):
+                    return b"".join(map(words, (cut_ascii if in_ascii else cut)(text.lower())))
             return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
         self._chunk = _Memory(chunk_ids).__getitem__
