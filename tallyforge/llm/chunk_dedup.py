@@ -5,16 +5,20 @@ adds a random number of its own, so the leading bits depend on the last 16 bytes
 chunk ends where they are zero. Cuts thus follow the content: a passage is cut in the
 same way wherever it stands, but for a few bytes at its ends, and what is inserted
 before it moves nothing. Chunks are short against the passages looked for; they are
-told apart by a 64-bit digest, and a passage is a run of repeated chunks with a
-number of words that no chance agreement of digests reaches.
+counted in pairs of neighbours, told apart by a 64-bit digest, so that chunks which
+repeat each in another place make no passage. A chunk that has a passage's words alone
+counts by itself as well. A passage is a run of overlapping units, pairs or such
+chunks, which each occur twice or more in all documents, and has a number of words that
+no chance agreement of digests reaches.
 
-1. Every task counts its chunks' digests; counts are added up by digest. A hot chunk
+1. Every task counts its units' digests; counts are added up by digest. A hot unit
    costs a row per task.
 2. A bit map of fixed size marks the digests seen twice. A second scan keeps the runs
-   of marked chunks that are long enough. The map may mark a chunk wrongly, never
-   miss one.
-3. Among these, chunks that occur once are no longer repeated and break runs. The
-   others learn where they occur first, in the order of document ids.
+   of marked units that are long enough. The map may mark a unit wrongly, never miss
+   one.
+3. Units are joined with the digests seen twice, and runs formed again of those that
+   are among them. The map thus saves work and decides nothing.
+4. Units in runs learn where such units occur first, in the order of document ids.
 
 Offsets are in bytes of UTF-8 and lie between characters. Null and empty texts have no
 chunk. Repeated rows are documents of their own, so they repeat each other; a null id
@@ -136,8 +140,8 @@ def _bytes_of(text) -> np.ndarray:
     return np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
 
 
-def repeated_digests(documents: DataFrame) -> DataFrame:
-    """``digest`` of chunks that occur twice or more in all documents."""
+def repeated_digests(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``digest`` of units that occur twice or more in all documents."""
 
     def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -152,7 +156,7 @@ def repeated_digests(documents: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 data = _bytes_of(text)
                 if len(data):
-                    waiting.append(digests(data, chunk_ends(data)))
+                    waiting.append(units(data, chunk_ends(data), least_words)[0])
                     n_waiting += len(waiting[-1])
                 if n_waiting >= COUNT_AT_ONCE:
                     yield counted()
@@ -170,26 +174,52 @@ def repeated_digests(documents: DataFrame) -> DataFrame:
     )
 
 
-def _long_runs(marked: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:
-    """Which chunks lie in runs of marked chunks with enough words."""
-    if not marked.any():
-        return marked
-    run = np.cumsum(np.concatenate(([True], marked[1:] != marked[:-1]))) - 1
-    return marked & (np.bincount(run, weights=words * marked) >= least_words)[run]
+def units(data: np.ndarray, ends: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """What is counted of a text: ``digest, first, last``, by first and last chunk.
 
-
-def candidates(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``row_id, doc_id, digest, start, end, words``: chunks in runs that may repeat.
-
-    A shared table. ``row_id`` tells documents apart whose ids are equal or null.
+    These are the pairs of neighbouring chunks, and chunks that have words enough alone.
     """
-    wanted = documents.sparkSession.sparkContext.broadcast(
-        bit_map(repeated_digests(documents), F.col("digest"))
-    )
+    own, n = digests(data, ends).view(np.uint64), len(ends)
+    pairs = (own[:-1] * _MIX) ^ (own[1:] + _BASE)
+    pairs = (pairs ^ (pairs >> np.uint64(32))) * _BASE
+    alone = np.flatnonzero(word_counts(data, ends) >= least_words)
+    first = np.concatenate((np.arange(n - 1), alone))
+    last = np.concatenate((np.arange(1, n), alone))
+    digest = np.concatenate((pairs, own[alone])).view(np.int64)
+    order = np.lexsort((last, first))
+    return digest[order], first[order], last[order]
+
+
+def _long_runs(
+    first: np.ndarray, last: np.ndarray, words: np.ndarray, least_words: int
+) -> np.ndarray:
+    """Which units, in order, lie in runs of overlapping units with enough words.
+
+    ``words`` has how many words begin before each chunk, and in all.
+    """
+    if not len(first):
+        return np.zeros(0, dtype=bool)
+    reach = np.maximum.accumulate(last)
+    begins = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1])))
+    stops = np.append(begins[1:], len(first))
+    enough = words[reach[stops - 1] + 1] - words[first[begins]] >= least_words
+    return np.repeat(enough, stops - begins)
+
+
+def candidates(
+    documents: DataFrame, repeated: DataFrame, least_words: int = LEAST_WORDS
+) -> DataFrame:
+    """Units in runs that may repeat, with their chunks, bytes and words before them.
+
+    ``row_id, doc_id, digest, first, last, start, end, words_before, words_to``.
+    ``row_id`` tells documents apart whose ids are equal or null. ``repeated`` has the
+    digests that repeat; the map of them lets others through, which are to be left out.
+    """
+    wanted = documents.sparkSession.sparkContext.broadcast(bit_map(repeated, F.col("digest")))
     narrow = documents.select("doc_id", "text")
     schema = T.StructType().add("row_id", "long").add(narrow.schema["doc_id"])
-    schema = schema.add("digest", "long").add("start", "long").add("end", "long")
-    schema = schema.add("words", "long")
+    for name in ("digest", "first", "last", "start", "end", "words_before", "words_to"):
+        schema = schema.add(name, "long")
 
     def candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_id = TaskContext.get().partitionId() << TASK_BITS
@@ -200,12 +230,18 @@ def candidates(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
                 if not len(data):
                     continue
                 ends = chunk_ends(data)
-                own = digests(data, ends)
-                words = word_counts(data, ends)
-                at = np.flatnonzero(_long_runs(in_bit_map(wanted.value, own), words, least_words))
+                own, first, last = units(data, ends, least_words)
+                at = np.flatnonzero(in_bit_map(wanted.value, own))
+                if not len(at):
+                    continue
+                words = np.concatenate(([0], np.cumsum(word_counts(data, ends))))
+                at = at[_long_runs(first[at], last[at], words, least_words)]
                 if len(at):
                     starts = np.concatenate(([0], ends[:-1]))
-                    parts.append((own[at], starts[at], ends[at], words[at]))
+                    first, last = first[at], last[at]
+                    parts.append(
+                        (own[at], first, last, starts[first], ends[last], words[first], words[last + 1])
+                    )
                     ordinals.append(np.full(len(at), ordinal))
             if parts:
                 ordinal = np.concatenate(ordinals)
@@ -219,61 +255,67 @@ def candidates(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
                 )
             row_id += batch.num_rows
 
-    return written(narrow.mapInArrow(candidate_task, schema), "chunk_candidates")
+    return narrow.mapInArrow(candidate_task, schema)
 
 
 def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "start")
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "first", "last")
 
 
-def repeated_chunks(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Chunks in repeated passages, with their run and where they occur first.
+def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Units in repeated passages, with their run and where they occur first.
 
-    ``row_id, doc_id, run, start, end, words, first_doc_id, is_first``; ``run`` is the
-    start of the chunk's run.
+    The columns of ``candidates`` without ``digest``, and ``run, first_doc_id,
+    is_first``; ``run`` is the first chunk of the unit's run.
     """
-    chunks = candidates(documents, least_words)
-    # Written, so that the join shuffles both sides and splits a hot digest.
-    firsts = written(
-        chunks.groupBy("digest")
-        .agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1"),
-        "chunk_firsts",
-    )
-    repeated = chunks.join(firsts, "digest").select(
-        "row_id", "doc_id", "start", "end", "words",
-        F.col("first.doc_id").alias("first_doc_id"),
-        ((F.col("first.row_id") == F.col("row_id")) & (F.col("first.start") == F.col("start")))
-        .alias("is_first"),
-    )
-    # One document's chunks, which are no more than its text has.
-    in_order = Window.partitionBy("row_id").orderBy("start")
-    begins = F.coalesce(F.lag("end").over(in_order) != F.col("start"), F.lit(True))
-    runs = repeated.withColumn("begin", F.when(begins, F.col("start"))).withColumn(
+    # Written, so that the joins shuffle both sides and split a hot digest.
+    repeated = written(repeated_digests(documents, least_words), "repeated_digests")
+    exact = candidates(documents, repeated, least_words).join(repeated, "digest", "left_semi")
+    # One document's units, which are no more than its text has.
+    in_order = Window.partitionBy("row_id").orderBy("first", "last")
+    reach = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("first") > reach, F.lit(True))
+    runs = exact.withColumn("begin", F.when(begins, F.col("first"))).withColumn(
         "run", F.last("begin", ignorenulls=True).over(in_order)
     )
-    in_run = F.sum("words").over(Window.partitionBy("row_id", "run"))
-    return runs.withColumn("run_words", in_run).filter(F.col("run_words") >= least_words).drop(
-        "begin", "run_words"
+    in_run = Window.partitionBy("row_id", "run")
+    run_words = F.max("words_to").over(in_run) - F.min("words_before").over(in_run)
+    runs = runs.withColumn("run_words", run_words).filter(F.col("run_words") >= least_words)
+    runs = written(runs.drop("begin", "run_words"), "repeated_units")
+    firsts = written(runs.groupBy("digest").agg(F.min(_place()).alias("least")), "unit_firsts")
+    is_first = (F.col("least.row_id") == F.col("row_id")) & (F.col("least.first") == F.col("first"))
+    return (
+        runs.join(firsts, "digest")
+        .withColumn("first_doc_id", F.col("least.doc_id"))
+        .withColumn("is_first", is_first & (F.col("least.last") == F.col("last")))
+        .drop("digest", "least")
     )
 
 
 def passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Repeated passages: ``doc_id, start, end, n_words, n_chunks, n_later, first_doc_id, kept``.
 
-    A row for each run of repeated chunks in a document, so documents without one have
-    no row. ``n_later`` counts chunks that occurred before; ``kept`` is whether none
-    did; ``first_doc_id`` is the first document that any of the chunks is in.
+    A row for each run of overlapping repeated units in a document, so documents without
+    one have no row. ``n_later`` counts chunks in units that occurred in a passage
+    before; ``kept`` is whether none did; ``first_doc_id`` is the first document that
+    any of the units is in.
     """
+    in_order = Window.partitionBy("row_id", "run").orderBy("first", "last")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    later = ~F.col("is_first")
+    # Chunks that the later units before do not have.
+    reach = F.coalesce(F.max(F.when(later, F.col("last"))).over(before), F.lit(-1))
+    more = F.greatest(F.col("last") - F.greatest(F.col("first") - 1, reach), F.lit(0))
     return (
-        repeated_chunks(documents, least_words)
+        repeated_units(documents, least_words)
+        .withColumn("more", F.when(later, more).otherwise(F.lit(0)))
         .groupBy("row_id", "doc_id", "run")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
-            F.sum("words").alias("n_words"),
-            F.count("*").alias("n_chunks"),
-            F.sum((~F.col("is_first")).cast("long")).alias("n_later"),
+            (F.max("words_to") - F.min("words_before")).alias("n_words"),
+            (F.max("last") - F.col("run") + 1).alias("n_chunks"),
+            F.sum("more").alias("n_later"),
             F.min("first_doc_id").alias("first_doc_id"),
         )
         .select(
@@ -289,7 +331,7 @@ def drop_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     ``doc_id`` must be unique and not null.
     """
     later = (
-        repeated_chunks(documents, least_words)
+        repeated_units(documents, least_words)
         .filter("not is_first")
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
@@ -310,7 +352,7 @@ def drop_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
                     data, kept, at = text.as_py().encode(), [], 0
                     for span in gone.as_py():
                         kept.append(data[at : span["start"]])
-                        at = span["end"]
+                        at = max(at, span["end"])
                     kept.append(data[at:])
                     texts.append(b"".join(kept).decode())
                 else:

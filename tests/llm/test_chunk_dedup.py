@@ -91,3 +91,34 @@ def test_awkward_documents(spark):
 def test_empty_table(spark):
     assert cd.passages(llm_data.empty(spark)).count() == 0
     assert cd.passages(llm_data.documents(spark, [(1, None, None, None), (2, "", None, None)])).count() == 0
+
+
+def full_map(*args):
+    return np.full(cd_bit_map(*args).shape, 255, dtype=np.uint8)
+
+
+cd_bit_map = cd.bit_map
+
+
+def test_chunks_that_repeat_apart_make_no_passage(spark, monkeypatch):
+    monkeypatch.setattr(cd, "bit_map", full_map)
+    rng = random.Random(5)
+    text = llm_data.words(rng, 60)
+    ends = cd.chunk_ends(as_bytes(text)).tolist()
+    rows = [(0, text, None, None)]
+    # Every chunk occurs in another document, with the bytes before that its cut needs.
+    for k, (low, high) in enumerate(zip([0, *ends], ends)):
+        before, after = llm_data.words(rng, 30), llm_data.words(rng, 30)
+        rows.append((k + 1, before + text[max(low - 30, 0) : high] + " " + after, None, None))
+    assert cd.passages(llm_data.documents(spark, rows)).collect() == []
+
+
+def test_a_full_map_changes_nothing(spark, monkeypatch):
+    # All of a long passage repeats, but each part in a document with a short run only.
+    rows, *_ = planted(6)
+    passage = llm_data.words(random.Random(7), 60)
+    rows += [(100 + k, passage[at : at + 130], None, None) for k, at in enumerate(range(0, 400, 30))]
+    docs = llm_data.documents(spark, [*rows, (200, passage, None, None)])
+    expected = sorted(map(str, cd.passages(docs).collect()))
+    monkeypatch.setattr(cd, "bit_map", full_map)
+    assert sorted(map(str, cd.passages(docs).collect())) == expected
