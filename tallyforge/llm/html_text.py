@@ -44,6 +44,10 @@ BLOCKS = frozenset(
 PARAGRAPHS = frozenset("p pre blockquote li dd td th dt figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup caption legend summary".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+# Any other element ends a head whose end tag is left out.
+IN_HEAD = frozenset(
+    "base basefont bgsound head link meta noframes noscript script style template title".split()
+)
 # An element of these ends an open one of the second list, inside the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -87,6 +91,8 @@ _ATTRIBUTE = re.compile(
     r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
     re.IGNORECASE,
 )
+# Searched in the page itself: lower case may have other positions.
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.ASCII | re.IGNORECASE) for tag in RAW}
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -164,6 +170,8 @@ class Page:
                 return
 
     def _start(self, tag: str, attributes: str) -> None:
+        if self.tags[self._stack[-1]] == "head" and tag not in IN_HEAD:
+            self._close({"head"}, frozenset())
         if tag in CLOSES_P:
             self._close({"p"}, {"table", "td", "th", "caption", "button", "object"})
         if tag in CLOSES:
@@ -193,7 +201,7 @@ class Page:
         self._close({tag}, frozenset() if tag in BLOCKS else BLOCKS)
 
     def _read(self, html: str) -> None:
-        at, lowered = 0, None
+        at = 0
         while m := _TAG.search(html, at):
             self._text(html[at : m.start()])
             at = m.end()
@@ -210,10 +218,8 @@ class Page:
             self._start(tag, attributes)
             if tag in RAW:
                 # Everything up to the end tag is text of the element.
-                if lowered is None:
-                    lowered = html.lower()
-                end = lowered.find(f"</{tag}", at)
-                at = len(html) if end < 0 else end
+                end = _RAW_ENDS[tag].search(html, at)
+                at = end.start() if end else len(html)
         self._text(html[at:])
         self._flush()
 

@@ -76,6 +76,13 @@ def test_odd_pages(source, text):
     assert main_text(source) == text
 
 
+@pytest.mark.parametrize("tag", ["script", "style", "TEXTAREA", "iframe"])
+def test_letters_that_grow_in_lower_case(tag):
+    source = f"<article><p>\u0130\u0130 one</p><{tag}>x</{tag}><p>two</p></article>"
+    assert main_text(source) == "\u0130\u0130 one\ntwo"
+    assert main_text("<head><title>\u0130</title><body><p>kept") == "kept"
+
+
 def test_deep_and_long_pages_are_read_whole():
     deep = "<div>" * 20000 + "<p>bottom</p>"
     assert main_text(deep) == "bottom"
