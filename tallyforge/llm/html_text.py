@@ -5,8 +5,9 @@ forms, scripts, styles and reader comments are left out by their element or by t
 words of their class, id and role. Each paragraph of the rest passes points for its
 length and its commas to its parent, half of them to the grandparent, a third to
 the next, and so on; a container's points shrink with the share of its text that is
-in links. The best container is kept with those of its siblings that score well or
-are prose themselves.
+in links. From the best container the way goes up to its article or main, or as long as
+little but headings and paragraphs are added. The whole of this is kept but lists of
+links, and those of its siblings that score well or are prose themselves.
 
 The text is that of the kept blocks in page order, joined by line feeds. Character
 references are decoded and white space inside a block becomes one space. A page of
@@ -71,12 +72,15 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article body content entry hentry main page post story text".split())
 NEGATIONS = frozenset("has have no with without is js non".split())
+MAIN_TAGS = frozenset("article main".split())
 NEVER_BAD = frozenset("html body article main".split())
 
 MAIN_ELEMENT = 50.0
 GOOD_NAME = 25.0
 # A sibling is kept from this share of the best score on.
 SIBLING_SHARE = 0.2
+# Of the text that an element adds to the best container so much must be prose.
+PROSE_SHARE = 0.75
 SHORT_PARAGRAPH = 25
 LINK_LIST = 0.8
 
@@ -130,12 +134,26 @@ class Page:
         self.left_out: list[bool] = [False]
         # Element, text, characters in links, number of links.
         self.blocks: list[tuple[int, str, int, int]] = []
+        self._articles: list[int] | None = None
         self._stack = [0]
         self._open: dict[str, int] = {}
         self._pieces: list[str] = []
         self._linked = self._links = 0
         self._read(html)
 
+    def articles(self, of: int) -> int:
+        """How many articles with text an element has, itself and nested ones included."""
+        if self._articles is None:
+            n = len(self.tags)
+            texts, self._articles = [False] * n, [0] * n
+            for at, *_ in self.blocks:
+                texts[at] = True
+            for i in range(n - 1, 0, -1):
+                self._articles[i] += self.tags[i] == "article" and texts[i]
+                self._articles[self.parents[i]] += self._articles[i]
+                texts[self.parents[i]] |= texts[i]
+        return self._articles[of]
+
     def _flush(self) -> None:
         if self._pieces:
             text = " ".join("".join(self._pieces).split())
@@ -232,6 +250,39 @@ def _points(tag: str, text: str) -> float:
     return 1 + text.count(",") + min(len(text) / 100, 3.0)
 
 
+def _climb(page: Page, best: int, chars: list[int], linked: list[int]) -> int:
+    """The element whose whole text belongs to the best container's.
+
+    This is its article or main, or one around that which has no other article; without
+    one, the highest element which adds little but headings and paragraphs.
+    """
+    above = [best]
+    while page.parents[above[-1]] >= 0:
+        above.append(page.parents[above[-1]])
+    top = -1
+    for i in above:
+        if page.tags[i] in MAIN_TAGS and not page.left_out[i]:
+            if top >= 0 and page.articles(i) > page.articles(top):
+                break
+            top = i
+    if top >= 0:
+        return top
+    prose = [0] * len(page.tags)
+    for at, text, in_links, _ in page.blocks:
+        if page.tags[at] in HEADINGS or (page.tags[at] in PARAGRAPHS and 4 * in_links < len(text)):
+            prose[at] += len(text)
+    for i in range(len(prose) - 1, 0, -1):
+        prose[page.parents[i]] += prose[i]
+    top = best
+    for i in above[1:]:
+        if page.tags[i] in ("html", "body"):
+            break
+        if prose[i] - prose[top] < PROSE_SHARE * (chars[i] - chars[top]):
+            break
+        top = i
+    return top
+
+
 def main_blocks(page: Page) -> list[str]:
     """The kept blocks of a page, in page order."""
     n = len(page.tags)
@@ -266,10 +317,11 @@ def main_blocks(page: Page) -> list[str]:
     # Paragraphs are content of a container, not containers.
     containers = [i for i in candidates if page.tags[i] not in PARAGRAPHS | HEADINGS] or candidates
     best = max(containers, key=lambda i: (finals[i], -i))
-    kept = {best}
     needed = max(10.0, SIBLING_SHARE * finals[best])
+    top = _climb(page, best, chars, linked)
+    kept = {top}
     for i in candidates:
-        if i != best and best and page.parents[i] == page.parents[best]:
+        if i != top and top and page.parents[i] == page.parents[top]:
             prose = page.tags[i] == "p" and density(i) < 0.25 and chars[i] > 80
             if finals[i] >= needed or prose:
                 kept.add(i)

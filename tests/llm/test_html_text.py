@@ -83,6 +83,22 @@ def test_letters_that_grow_in_lower_case(tag):
     assert main_text("<head><title>\u0130</title><body><p>kept") == "kept"
 
 
+@pytest.mark.parametrize(
+    "around", ["article", "main", "main><article", 'div class="x"', "div id=page><section"]
+)
+@pytest.mark.parametrize("n", [1, 30, 100])
+def test_long_articles_are_kept_whole(around, n):
+    paragraphs = f"<p>{LONG} {LONG}</p>" * n
+    article = f"<h1>Title</h1><p>Short lead.</p><div class=body>{paragraphs}</div>"
+    blocks = ["Title", "Short lead.", *[f"{LONG} {LONG}"] * n]
+    if "div" not in around:
+        article += f"<section><h2>More</h2><p>{LONG}</p></section><ul><li>One<li>Two</ul>"
+        article += "<blockquote>Said.</blockquote><table><tr><td>1<td>2</table>"
+        blocks += ["More", LONG, "One", "Two", "Said.", "1", "2"]
+    outside = f"<div><a href=/>Home of the site</a> <a href=/b>News</a></div><nav>{LONG}</nav>"
+    assert main_text(page(f"{outside}<{around}>{article}")) == "\n".join(blocks)
+
+
 def test_deep_and_long_pages_are_read_whole():
     deep = "<div>" * 20000 + "<p>bottom</p>"
     assert main_text(deep) == "bottom"
