@@ -64,12 +64,18 @@ CLOSES = {
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs "
     "comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr "
-    "header hidden login masthead menu menubar modal nav navbar navigation newsletter notice "
+    "header login masthead menu menubar modal nav navbar navigation newsletter notice "
     "notices notification overlay pager pagination paywall popup promo promoted promotion "
     "related recommended replies respond share sharing sidebar signup skip social sponsor "
     "sponsored sponsors subscribe subscription toolbar widget widgets complementary contentinfo "
     "search alert".split()
 )
+READER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adsense comment comments commentlist "
+    "consent cookie cookies disclaimer discussion disqus gdpr login newsletter paywall replies "
+    "respond signup subscribe subscription".split()
+)
+NAMED, READERS = 1, 2
 GOOD_WORDS = frozenset("article body content entry hentry main page post story text".split())
 NEGATIONS = frozenset("has have no with without is js non".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -92,36 +98,44 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(
-    r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
-    re.IGNORECASE,
+    r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'"
 )
 # Searched in the page itself: lower case may have other positions.
 _RAW_ENDS = {tag: re.compile(f"</{tag}", re.ASCII | re.IGNORECASE) for tag in RAW}
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _names(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes mark an element as left out, and as main content."""
-    bad = good = False
+def _names(attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element is hidden, how bad its names are, and whether one is good.
+
+    Bad names are ``NAMED``, or ``READERS`` if one of them is for what readers or the
+    site's owner say beside the article.
+    """
+    hidden = good = False
+    bad = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "style":
-            bad = bad or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            gone = re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)
+            hidden = hidden or bool(gone)
         elif name == "hidden":
-            bad = True
+            hidden = True
         elif name == "aria-hidden":
-            bad = bad or value.lower() == "true"
+            hidden = hidden or value.lower() == "true"
         elif name == "itemprop":
             good = good or value.lower() == "articlebody"
-        else:
+        elif name in ("class", "id", "role"):
             for part in unescape(value).split():
+                # Part of another name, as in overflow-hidden, it does not hide.
+                hidden = hidden or (name == "class" and part.lower() == "hidden")
                 words = [w.lower() for w in _NAME_WORDS.findall(part)]
                 for word, before, after in zip(words, [None, *words], [*words[1:], None]):
                     if before in NEGATIONS or after == "free":
                         break
-                    bad = bad or word in BAD_WORDS
+                    if word in BAD_WORDS:
+                        bad = max(bad, READERS if word in READER_WORDS else NAMED)
                     good = good or word in GOOD_WORDS
-    return bad, good
+    return hidden, bad, good
 
 
 class Page:
@@ -132,6 +146,10 @@ class Page:
         self.parents: list[int] = [-1]
         self.weights: list[float] = [0.0]
         self.left_out: list[bool] = [False]
+        # Blocks with bad names, which are left out if the article is elsewhere.
+        self.bad: list[int] = [0]
+        # Articles that are named as what readers say.
+        self.readers: set[int] = set()
         # Element, text, characters in links, number of links.
         self.blocks: list[tuple[int, str, int, int]] = []
         self._articles: list[int] | None = None
@@ -140,6 +158,52 @@ class Page:
         self._pieces: list[str] = []
         self._linked = self._links = 0
         self._read(html)
+        if any(self.bad):
+            self._leave_out_bad()
+
+    def _leave_out_bad(self) -> None:
+        """Leave out elements with bad names but those around the page's article.
+
+        Such are those that hold most of the prose of all articles and mains or, on a
+        page without one, most of the prose. Comments, adverts and notices must hold a
+        main or, where no article is outside, one that is large against all outside.
+        """
+        n = len(self.tags)
+        points, largest, outside = [0.0] * n, [0.0] * n, 0.0
+        bad_above = [False] * n
+        for i in range(1, n):
+            bad_above[i] = bad_above[self.parents[i]] or self.bad[i] > 0
+        for at, text, *_ in self.blocks:
+            own = _points(self.tags[at], text)
+            points[at] += own
+            outside += 0.0 if bad_above[at] else own
+        alone = not any(
+            self.tags[i] in MAIN_TAGS and i not in self.readers and not bad_above[i]
+            for i in range(1, n)
+        )
+        articles, mains = [0.0] * n, [False] * n
+        for i in range(n - 1, 0, -1):
+            up = self.parents[i]
+            points[up] += points[i]
+            if self.tags[i] in MAIN_TAGS and i not in self.readers:
+                articles[i] = largest[i] = points[i]
+                mains[i] |= self.tags[i] == "main" and points[i] > 0
+            spared = mains[i] or (alone and largest[i] > 2 * outside)
+            if self.bad[i] != READERS or spared:
+                articles[up] += articles[i]
+                largest[up] = max(largest[up], largest[i])
+                mains[up] |= mains[i]
+            else:
+                articles[i] = 0.0
+        for i in range(1, n):
+            out = self.left_out[i] or self.left_out[self.parents[i]]
+            if self.bad[i] and not out:
+                if articles[0]:
+                    out = 2 * articles[i] <= articles[0]
+                else:
+                    out = self.bad[i] == READERS or 2 * points[i] <= points[0]
+            self.left_out[i] = out
+        self.blocks = [block for block in self.blocks if not self.left_out[block[0]]]
 
     def articles(self, of: int) -> int:
         """How many articles with text an element has, itself and nested ones included."""
@@ -202,14 +266,21 @@ class Page:
             self._links += 1
         if tag in VOID:
             return
-        bad, good = _names(attributes) if attributes else (False, False)
+        hidden, bad, good = _names(attributes) if attributes else (False, 0, False)
         parent = self._stack[-1]
-        out = self.left_out[parent] or tag in LEFT_OUT or (bad and tag not in NEVER_BAD)
+        out = self.left_out[parent] or tag in LEFT_OUT
+        if tag not in NEVER_BAD:
+            out = out or hidden or (bad > 0 and tag not in BLOCKS)
+            self.bad.append(0 if out else bad)
+        else:
+            self.bad.append(0)
+            if bad == READERS:
+                self.readers.add(len(self.tags))
         self.tags.append(tag)
         self.parents.append(parent)
         self.left_out.append(out)
         self.weights.append(
-            MAIN_ELEMENT * (tag in ("article", "main")) + GOOD_NAME * (good and not bad)
+            MAIN_ELEMENT * (tag in ("article", "main")) + GOOD_NAME * (good and not bad and not hidden)
         )
         self._stack.append(len(self.tags) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1

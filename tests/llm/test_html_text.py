@@ -99,6 +99,37 @@ def test_long_articles_are_kept_whole(around, n):
     assert main_text(page(f"{outside}<{around}>{article}")) == "\n".join(blocks)
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        'class="overflow-hidden"', 'data-hidden="false"', 'title="the hidden truth"',
+        'class="elementor-widget-container"', 'class="layout sidebar-right"',
+        'data-class="comments"', "data-x='class=menu'", 'class="post-content share"',
+        'class="cookie-consent-wrapper"',
+    ],
+)
+@pytest.mark.parametrize("inner", ["<article>", "<main>", "<div>"])
+def test_names_around_an_article(wrapper, inner):
+    beside = "".join(b for b in BOILERPLATE if "<article" not in b)
+    paragraphs = f"<p>{LONG} {LONG}</p>" * 12
+    if "cookie" in wrapper and inner == "<div>":
+        return
+    source = page(f"<div {wrapper}>{inner}{paragraphs}</{inner[1:]}{beside}</div>")
+    assert main_text(source) == "\n".join([f"{LONG} {LONG}"] * 12)
+
+
+def test_names_beside_an_article():
+    comments = f'<div class="comments">{f"<article><p>{LONG}</p></article>" * 50}</div>'
+    widget = f'<div class="widget">{f"<p>{LONG}</p>" * 50}</div>'
+    for around in ("article", "main"):
+        assert main_text(page(f"{comments}{widget}<{around}><p>{LONG} End")) == f"{LONG} End"
+    teaser = f"<article><p>{LONG}</p></article>"
+    wrapped = f'<div class="layout sidebar-right"><article>{f"<p>{LONG}</p>" * 9}</article></div>'
+    assert f"{LONG}\n" * 8 in main_text(page(f"{teaser}{wrapped}"))
+    assert main_text(page(f"{comments}<div><p>{LONG} End")) == f"{LONG} End"
+    assert main_text(page(f'<div hidden><article><p>{LONG}</article></div><p>kept')) == "kept"
+
+
 def test_deep_and_long_pages_are_read_whole():
     deep = "<div>" * 20000 + "<p>bottom</p>"
     assert main_text(deep) == "bottom"
