@@ -6,8 +6,10 @@ trained on labelled urls. The trees see how a url is written, no word list: its
 lengths, depth, digits, hyphens, the entropy of its host, its parameters, and how
 often labelled urls under the same host suffixes were blocked.
 
-Training takes a bounded sample of labelled rows, ``SAMPLE_ROWS``, half of each
-label as far as there are, those whose url has the smallest hash. With labels of
+The block rate and the suffixes' rates are counted over all labelled rows. The trees
+take a bounded sample of distinct urls, ``SAMPLE_ROWS``, half of each label as far as
+there are, those with the smallest hash; they weigh as their label does in all labelled
+rows, a url as often as it is there. With labels of
 one kind only that kind is the verdict everywhere, and without any label ``allow``.
 
 A null url, or one without ``://``, has an empty host and path; it fits no rule
@@ -139,20 +141,28 @@ class UrlModel:
 
 
 def _with_features(urls: DataFrame, suffixes: list[DataFrame], base_rate: float) -> DataFrame:
-    """``urls`` with the vector ``_features``; suffix tables are bounded by the sample."""
+    """``urls`` with the vector ``_features``.
+
+    Suffix tables grow with the labelled hosts and are joined by shuffle, unless the
+    session finds them small; urls go there once a host, so that a hot one costs a row
+    per task.
+    """
     features = lexical_features()
     wide = urls.withColumns(features)
     names = list(features)
+    hosts = urls.select("host").distinct()
     for labels, rates in zip(SUFFIX_LABELS, suffixes):
         rate, seen = f"f_suffix_rate_{labels}", f"f_suffix_seen_{labels}"
-        wide = (
-            wide.withColumn("_suffix", _suffix(labels))
-            .join(F.broadcast(rates), "_suffix", "left")
+        hosts = (
+            hosts.withColumn("_suffix", _suffix(labels))
+            .join(rates, "_suffix", "left")
             .withColumn(rate, F.coalesce("_rate", F.lit(base_rate)))
             .withColumn(seen, F.log1p(F.coalesce("_seen", F.lit(0.0))))
             .drop("_suffix", "_rate", "_seen")
         )
         names += [rate, seen]
+    # Written, so that the join shuffles both sides and splits a hot host.
+    wide = wide.join(written(hosts, "url_host_rates"), "host", "left")
     assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(wide)
     return assembled.drop(*names)
 
@@ -169,30 +179,43 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
     usable = labelled.select("url", F.col("label").cast("double").alias("label")).filter(
         "url is not null and label is not null"
     )
-    halves = [
-        usable.filter(F.col("label") == label)
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(sample_rows // 2)
-        for label in (0.0, 1.0)
-    ]
-    sample = written(parsed(halves[0].union(halves[1])), "url_sample")
-    by_label = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
+    by_label = {row["label"]: row["count"] for row in usable.groupBy("label").count().collect()}
     if len(by_label) < 2:
         return UrlModel(None, [], max(by_label, default=0.0))
-    base_rate = by_label[1.0] / sum(by_label.values())
+    n_rows = sum(by_label.values())
+    base_rate = by_label[1.0] / n_rows
+    hosts = parsed(usable).groupBy("host").agg(
+        F.sum("label").alias("blocked"), F.count("*").alias("n")
+    )
+    hosts = written(hosts, "url_hosts")
     suffixes = [
-        sample.groupBy(_suffix(labels).alias("_suffix")).agg(
+        hosts.groupBy(_suffix(labels).alias("_suffix")).agg(
             (
-                (F.sum("label") + PRIOR_ROWS * base_rate) / (F.count("*") + PRIOR_ROWS)
+                (F.sum("blocked") + PRIOR_ROWS * base_rate) / (F.sum("n") + PRIOR_ROWS)
             ).alias("_rate"),
-            F.count("*").cast("double").alias("_seen"),
+            F.sum("n").cast("double").alias("_seen"),
         )
         for labels in SUFFIX_LABELS
     ]
     suffixes = [written(s, "url_suffixes") for s in suffixes]
+    # Copies of a url with one label are one row of their number.
+    distinct = usable.groupBy("url", "label").agg(F.count("*").cast("double").alias("copies"))
+    halves = [
+        distinct.filter(F.col("label") == label)
+        .orderBy(F.xxhash64("url"), "url")
+        .limit(sample_rows // 2)
+        for label in (0.0, 1.0)
+    ]
+    sample = written(parsed(halves[0].union(halves[1])), "url_sample")
+    sampled = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
+    # Rows of each label weigh as much as in all labelled rows.
+    weights = {label: by_label[label] / n_rows / (n / sum(sampled.values())) for label, n in sampled.items()}
+    weight = F.col("copies") * F.when(F.col("label") == 1.0, weights[1.0]).otherwise(weights[0.0])
+    sample = sample.withColumn("_weight", weight)
     trees = GBTClassifier(
         featuresCol="_features",
         labelCol="label",
+        weightCol="_weight",
         maxIter=TREES,
         maxDepth=DEPTH,
         checkpointInterval=-1,

@@ -93,3 +93,18 @@ def test_awkward_urls_with_trees(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     rows = uf.judge(pages, uf.fit(labelled)).collect()
     assert len(rows) == len(URLS) and {r.verdict for r in rows} <= {"allow", "block"}
+
+
+def test_a_small_sample_keeps_the_share_of_labels(spark):
+    # Nothing tells the labels apart, so that odds are those of all labelled rows.
+    train = [(f"http://h{i % 7}.example.com/{i:04}", int(i % 20 == 0)) for i in range(2000)]
+    train += [("http://h0.example.com/copy", 0)] * 500
+    model = uf.fit(spark.createDataFrame(train, "url string, label int"), sample_rows=100)
+    assert model.base_rate == pytest.approx(100 / 2500)
+    seen = {r["_suffix"]: r["_seen"] for s in model.suffixes for r in s.collect()}
+    assert seen["example.com"] == 2500
+    pages = spark.createDataFrame(
+        [(i, f"http://h{i % 7}.example.com/{i + 2000}") for i in range(500)], "page_id long, url string"
+    )
+    rows = uf.judge(pages, model, ()).collect()
+    assert sum(r.verdict == "block" for r in rows) < 50
