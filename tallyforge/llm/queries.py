@@ -10,10 +10,13 @@ from tallyforge.llm import (
     chunk_dedup,
     decontamination,
     exact_dedup,
+    hard_negatives,
     html_text,
     jaccard_join,
     language_mix,
+    license_scan,
     packing,
+    periodic_runs,
     quality,
     resharding,
     url_filter,
@@ -72,6 +75,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(url_filter.word_labels(pages)))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
@@ -83,9 +98,14 @@ QUERIES = {
     "op8_resharding": op8_resharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_license_scan": op11_license_scan,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
