@@ -6,20 +6,27 @@ words of their class, id and role. Each paragraph of the rest passes points for
 length and its commas to its parent, half of them to the grandparent, a third to
 the next, and so on; a container's points shrink with the share of its text that is
 in links. From the best container the way goes up to its article or main, or as long as
-little but headings and paragraphs are added. The whole of this is kept but lists of
-links, and those of its siblings that score well or are prose themselves.
+little but headings and paragraphs are added. The whole of this is kept, and those of its
+siblings that score well or are prose themselves; without an article or main, lists of
+links are left out of it.
+
+A name leaves a block out if one of its words is for what is left out. In an article or
+in what is named as content, the whole name must be, so a section on ``login-security``
+stays and ``login-box`` goes. An inline element with such a name is left out only where
+its block has nothing else.
 
 The text is that of the kept blocks in page order, joined by line feeds. Character
 references are decoded and white space inside a block becomes one space. A page of
 plain text is one block. A null or empty page, or one with nothing left, has an
 empty text. Elements left open, stray end tags, broken quotes and deep nesting are
-read as far as they go. Repeated rows and null ids are pages like any other; extra
+read as far as they go, in time in proportion to the page's length. Repeated rows and null ids are pages like any other; extra
 columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,8 +40,8 @@ VOID = frozenset(
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 LEFT_OUT = frozenset(
     "head script style noscript template title nav header footer aside form button select "
-    "textarea input iframe object embed svg canvas math audio video map dialog menu xmp noembed "
-    "noframes datalist".split()
+    "textarea input iframe object embed svg canvas annotation annotation-xml audio video map "
+    "dialog menu xmp noembed noframes datalist".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt "
@@ -75,7 +82,17 @@ READER_WORDS = frozenset(
     "consent cookie cookies disclaimer discussion disqus gdpr login newsletter paywall replies "
     "respond signup subscribe subscription".split()
 )
-NAMED, READERS = 1, 2
+# Words that beside one of the above say no more than where or what it is.
+PLAIN_WORDS = frozenset(
+    "area author bar block body bottom box btn button buttons card cards col column container "
+    "content count date entry first footer form grid group head heading hidden holder icon icons "
+    "inner item items last left link links list main meta mini mobile module name panel post posts "
+    "primary region reply results right row secondary section site slot small stories sub text "
+    "thread title top unit user wrap wrapper articles left page sticky fixed inline".split()
+)
+# How bad a name is: one of its words is bad, all that it says is bad, or it is for what
+# readers or the site's owner say beside the article.
+PARTLY, NAMED, READERS = 1, 2, 3
 GOOD_WORDS = frozenset("article body content entry hentry main page post story text".split())
 NEGATIONS = frozenset("has have no with without is js non".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -88,15 +105,19 @@ SIBLING_SHARE = 0.2
 # Of the text that an element adds to the best container so much must be prose.
 PROSE_SHARE = 0.75
 SHORT_PARAGRAPH = 25
+# A list with so many links, and so much of its text in them, is a menu if no article
+# or main has it.
+LEAST_LINKS = 3
 LINK_LIST = 0.8
 
-_TAG = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|--!>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.DOTALL,
-)
+# Nothing here gives back what it took, so a page is read in time in proportion.
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_TAG_REST = re.compile(r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>")
+_COMMENT_END = re.compile(r"--!?>")
+_SPECIAL = re.compile(r"[\"'>]")
+# References to characters by numbers longer than any has.
+_ZEROS = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])")
+_TOO_LONG = re.compile(r"&#(?:[0-9]{9,}+|[xX][0-9a-fA-F]{9,}+);?")
 _ATTRIBUTE = re.compile(
     r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'"
 )
@@ -105,12 +126,22 @@ _RAW_ENDS = {tag: re.compile(f"</{tag}", re.ASCII | re.IGNORECASE) for tag in RA
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _names(attributes: str) -> tuple[bool, int, bool]:
-    """Whether an element is hidden, how bad its names are, and whether one is good.
+def _badness(words: list[str]) -> int:
+    """How bad the words of one name are."""
+    said = []
+    for word, before, after in zip(words, [None, *words], [*words[1:], None]):
+        if before in NEGATIONS or after == "free":
+            break
+        said.append(word)
+    if BAD_WORDS.isdisjoint(said):
+        return 0
+    if not all(word in BAD_WORDS or word in PLAIN_WORDS for word in words):
+        return PARTLY
+    return NAMED if READER_WORDS.isdisjoint(said) else READERS
 
-    Bad names are ``NAMED``, or ``READERS`` if one of them is for what readers or the
-    site's owner say beside the article.
-    """
+
+def _names(attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element is hidden, how bad its names are, and whether one is good."""
     hidden = good = False
     bad = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -129,15 +160,45 @@ def _names(attributes: str) -> tuple[bool, int, bool]:
                 # Part of another name, as in overflow-hidden, it does not hide.
                 hidden = hidden or (name == "class" and part.lower() == "hidden")
                 words = [w.lower() for w in _NAME_WORDS.findall(part)]
-                for word, before, after in zip(words, [None, *words], [*words[1:], None]):
-                    if before in NEGATIONS or after == "free":
-                        break
-                    if word in BAD_WORDS:
-                        bad = max(bad, READERS if word in READER_WORDS else NAMED)
-                    good = good or word in GOOD_WORDS
+                bad = max(bad, _badness(words))
+                good = good or not GOOD_WORDS.isdisjoint(words)
     return hidden, bad, good
 
 
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _TOO_LONG.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return unescape(text)
+
+
+class _TagEnds:
+    """Where the tag ends that begins at a place, if quotes are closed on the page.
+
+    ``>`` in quotes does not end a tag. Ends are worked out from the end of the page
+    backwards, for a place outside quotes and inside those of either kind.
+    """
+
+    def __init__(self, html: str, at: int):
+        self._places = [m.start() for m in _SPECIAL.finditer(html, at)]
+        outside = double = single = -1
+        self._ends = [-1]
+        for place in reversed(self._places):
+            if html[place] == ">":
+                outside = place + 1
+            elif html[place] == '"':
+                outside, double = double, outside
+            else:
+                outside, single = single, outside
+            self._ends.append(outside)
+        self._ends.reverse()
+
+    def after(self, at: int) -> int:
+        """The end for a place outside quotes; -1 if there is none."""
+        return self._ends[bisect_left(self._places, at)]
+
+
 class Page:
     """The elements of a page, parents before children, and its blocks of text."""
 
@@ -150,13 +211,19 @@ class Page:
         self.bad: list[int] = [0]
         # Articles that are named as what readers say.
         self.readers: set[int] = set()
+        # Inline elements with bad names, and what is in them.
+        self.beside: list[bool] = [False]
         # Element, text, characters in links, number of links.
         self.blocks: list[tuple[int, str, int, int]] = []
         self._articles: list[int] | None = None
         self._stack = [0]
-        self._open: dict[str, int] = {}
+        # Depths in the stack of the open elements of each name, and of all blocks.
+        self._open: dict[str, list[int]] = {}
+        self._open_blocks: list[int] = []
         self._pieces: list[str] = []
         self._linked = self._links = 0
+        self._only_beside = True
+        self._has_body = False
         self._read(html)
         if any(self.bad):
             self._leave_out_bad()
@@ -170,9 +237,15 @@ class Page:
         """
         n = len(self.tags)
         points, largest, outside = [0.0] * n, [0.0] * n, 0.0
-        bad_above = [False] * n
+        bad_above, in_article = [False] * n, [False] * n
         for i in range(1, n):
-            bad_above[i] = bad_above[self.parents[i]] or self.bad[i] > 0
+            up = self.parents[i]
+            # In an article only a name that is bad as a whole counts.
+            if in_article[up] and self.bad[i] == PARTLY:
+                self.bad[i] = 0
+            bad_above[i] = bad_above[up] or self.bad[i] > 0
+            is_article = self.tags[i] in MAIN_TAGS and i not in self.readers
+            in_article[i] = not bad_above[i] and (in_article[up] or is_article or self.weights[i] > 0)
         for at, text, *_ in self.blocks:
             own = _points(self.tags[at], text)
             points[at] += own
@@ -221,35 +294,46 @@ class Page:
     def _flush(self) -> None:
         if self._pieces:
             text = " ".join("".join(self._pieces).split())
-            if text:
-                at = next(i for i in reversed(self._stack) if i == 0 or self.tags[i] in BLOCKS)
+            # What is wholly beside the text, as a link to skip a menu, is no block of it.
+            if text and not self._only_beside:
+                at = self._stack[self._open_blocks[-1]] if self._open_blocks else 0
                 self.blocks.append((at, text, min(self._linked, len(text)), self._links))
             self._pieces.clear()
         self._linked = self._links = 0
+        self._only_beside = True
 
     def _text(self, text: str) -> None:
-        if text and not self.left_out[self._stack[-1]]:
-            self._pieces.append(unescape(text) if "&" in text else text)
+        at = self._stack[-1]
+        if text and not self.left_out[at]:
+            self._pieces.append(_decoded(text))
             if self._open.get("a"):
                 self._linked += len(text)
+            if not self.beside[at] and not text.isspace():
+                self._only_beside = False
 
     def _pop(self) -> None:
-        self._open[self.tags[self._stack.pop()]] -= 1
+        tag = self.tags[self._stack.pop()]
+        self._open[tag].pop()
+        if tag in BLOCKS:
+            self._open_blocks.pop()
+
+    def _innermost(self, names: set[str] | frozenset[str]) -> int:
+        """Depth of the innermost open element of these names, 0 if none."""
+        return max((self._open[name][-1] for name in names if self._open.get(name)), default=0)
 
     def _close(self, names: set[str], barrier: set[str] | frozenset[str]) -> None:
         """End the innermost open element of these names, and all inside it."""
-        if not any(self._open.get(name) for name in names):
+        depth = self._innermost(names)
+        if barrier is BLOCKS:
+            stop = self._open_blocks[-1] if self._open_blocks else 0
+        else:
+            stop = self._innermost(barrier)
+        if not depth or depth < stop:
             return
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[depth]]
-            if tag in names:
-                if any(self.tags[i] in BLOCKS for i in self._stack[depth:]):
-                    self._flush()
-                while len(self._stack) > depth:
-                    self._pop()
-                return
-            if tag in barrier:
-                return
+        if self._open_blocks and self._open_blocks[-1] >= depth:
+            self._flush()
+        while len(self._stack) > depth:
+            self._pop()
 
     def _start(self, tag: str, attributes: str) -> None:
         if self.tags[self._stack[-1]] == "head" and tag not in IN_HEAD:
@@ -269,47 +353,84 @@ class Page:
         hidden, bad, good = _names(attributes) if attributes else (False, 0, False)
         parent = self._stack[-1]
         out = self.left_out[parent] or tag in LEFT_OUT
+        beside = self.beside[parent]
         if tag not in NEVER_BAD:
-            out = out or hidden or (bad > 0 and tag not in BLOCKS)
-            self.bad.append(0 if out else bad)
+            out = out or hidden
+            # An inline element is part of a sentence, whatever it is called.
+            beside = beside or (bad > 0 and tag not in BLOCKS)
+            self.bad.append(bad if tag in BLOCKS and not out else 0)
         else:
             self.bad.append(0)
             if bad == READERS:
                 self.readers.add(len(self.tags))
+        self.beside.append(beside)
         self.tags.append(tag)
         self.parents.append(parent)
         self.left_out.append(out)
         self.weights.append(
             MAIN_ELEMENT * (tag in ("article", "main")) + GOOD_NAME * (good and not bad and not hidden)
         )
+        if tag in BLOCKS:
+            self._open_blocks.append(len(self._stack))
+        self._open.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tags) - 1)
-        self._open[tag] = self._open.get(tag, 0) + 1
 
     def _end(self, tag: str) -> None:
         # An inline end tag does not end the blocks around it.
         self._close({tag}, frozenset() if tag in BLOCKS else BLOCKS)
 
     def _read(self, html: str) -> None:
-        at = 0
-        while m := _TAG.search(html, at):
-            self._text(html[at : m.start()])
-            at = m.end()
-            tag = m["name"] or m["name2"]
-            if not tag:
+        at, text_from = 0, 0
+        last_end = html.rfind(">")
+        ends: _TagEnds | None = None
+        # Where no > follows, nothing is a tag but an open comment.
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                self._text(html[text_from:at])
+                end = _COMMENT_END.search(html, at + 4)
+                at = text_from = end.end() if end else len(html)
                 continue
-            tag = tag.lower()
-            if m["end"] or m["end2"]:
+            if at > last_end:
+                at = html.find("<!--", at)
+                if at < 0:
+                    break
+                continue
+            name = _TAG_NAME.match(html, at)
+            if not name:
+                if html[at + 1] in "!?/":
+                    self._text(html[text_from:at])
+                    at = text_from = html.find(">", at) + 1
+                else:
+                    at += 1
+                continue
+            self._text(html[text_from:at])
+            if ends is None:
+                end = _TAG_REST.match(html, name.end())
+                if end:
+                    after = end.end()
+                else:
+                    ends = _TagEnds(html, name.end())
+                    after = -1
+            else:
+                after = ends.after(name.end())
+            if after < 0:  # a quote is not closed
+                after = html.find(">", name.end()) + 1
+            attributes = html[name.end() : after - 1]
+            tag = name[1].lower()
+            is_end = html[at + 1] == "/"
+            at = text_from = after
+            if is_end:
                 self._end(tag)
                 continue
-            if tag in ("html", "body") and tag in self.tags:
+            if tag == "html" or (tag == "body" and self._has_body):
                 continue
-            attributes = m["attributes"] or m["attributes2"] or ""
+            self._has_body |= tag == "body"
             self._start(tag, attributes)
             if tag in RAW:
                 # Everything up to the end tag is text of the element.
                 end = _RAW_ENDS[tag].search(html, at)
                 at = end.start() if end else len(html)
-        self._text(html[at:])
+        self._text(html[text_from:])
         self._flush()
 
 
@@ -396,15 +517,17 @@ def main_blocks(page: Page) -> list[str]:
             prose = page.tags[i] == "p" and density(i) < 0.25 and chars[i] > 80
             if finals[i] >= needed or prose:
                 kept.add(i)
-    inside = [False] * n
+    inside, in_article = [False] * n, [False] * n
     for i in range(n):
+        up = page.parents[i]
+        in_article[i] = page.tags[i] in MAIN_TAGS or (up >= 0 and in_article[up])
         list_of_links = (
             page.tags[i] in ("ul", "ol", "dl", "div", "section", "table")
             and i not in kept
-            and links[i] >= 3
+            and not in_article[i]
+            and links[i] >= LEAST_LINKS
             and density(i) >= LINK_LIST
         )
-        up = page.parents[i]
         inside[i] = i in kept or (up >= 0 and inside[up] and not list_of_links)
     return [text for at, text, _, _ in page.blocks if inside[at]]
 

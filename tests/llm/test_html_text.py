@@ -162,3 +162,110 @@ def test_given_pages_give_their_articles(spark):
         blocks = [re.sub("<[^>]*>", " ", b) for b in re.split(r"</?(?:p|h1)>", inner)]
         expected = [" ".join(html.unescape(b).split()) for b in blocks]
         assert texts[r.page_id] == "\n".join(b for b in expected if b)
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("see <span class='search-term'>the term</span> here", "see the term here"),
+        ("an <em class='notice'>important</em> word", "an important word"),
+        ("more in <a class='related-link' href=/x>this piece</a> too", "more in this piece too"),
+        ("the <b class='ad'>bold</b>", "the bold"),
+        ("with <math><mi>x</mi><mo>=</mo><mn>1</mn></math> in it", "with x=1 in it"),
+        ("<math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math> alone", "y alone"),
+        ("hidden <span hidden>not this</span>stays out", "hidden stays out"),
+    ],
+)
+def test_inline_elements_belong_to_their_sentence(inner, text):
+    assert main_text(page(f"<article><p>{LONG}</p><p>{inner}</p></article>")) == f"{LONG}\n{text}"
+
+
+def test_what_is_wholly_beside_the_text_is_no_block():
+    skip = '<a class="skip-link" href="#x">Skip to content</a>'
+    share = '<div><span class="share">Share this</span> <a class="social-x" href=/>X</a></div>'
+    assert main_text(page(f"{skip}<article><p>{LONG}</p>{share}</article>")) == LONG
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div class='entry-content'"])
+@pytest.mark.parametrize("name", ["login-security", "search-results-analysis", "cookieRecipes", "menu_of_the_day"])
+@pytest.mark.parametrize("by", ["class", "id"])
+def test_sections_with_a_bad_word_in_a_longer_name_stay(around, name, by):
+    section = f"<section {by}='{name}'><h2>Part</h2><p>{LONG}</p></section>"
+    body = f"<{around}><h1>Title</h1><p>{LONG} {LONG}</p>{section}</{around.split()[0]}>"
+    beside = f"<div class='menu-of-links'><p>{LONG}</p></div>"
+    assert main_text(page(beside + body)) == f"Title\n{LONG} {LONG}\nPart\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["login-box", "newsletter-signup", "share-buttons", "related-posts", "commentBody", "ad_slot_3", "cookie-banner"],
+)
+def test_blocks_named_as_a_whole_go(name):
+    body = f"<article><p>{LONG} {LONG}</p><div class='x {name}'><p>{LONG}</p></div><p>End.</p></article>"
+    assert main_text(page(body)) == f"{LONG} {LONG}\nEnd."
+
+
+def test_reference_lists_stay_in_articles_and_menus_go():
+    links = "".join(f"<li><a href=/{i}>Source number {i}</a></li>" for i in range(3))
+    article = f"<p>{LONG} {LONG}</p><h2>Sources</h2><ul>{links}</ul>"
+    sources = "Source number 0\nSource number 1\nSource number 2"
+    assert main_text(page(f"<article>{article}</article>")) == f"{LONG} {LONG}\nSources\n{sources}"
+    assert main_text(page(f"<div>{f'<p>{LONG}</p>' * 3}<ul>{links}</ul></div>")) == "\n".join([LONG] * 3)
+
+
+CRAFTED = {
+    "names": "<a" * 10**5,
+    "attributes": "<a " * 10**5,
+    "one name": "<" + "a" * 10**6,
+    "names and an end": "<a" * 10**5 + ">",
+    "attributes and an end": "<a " * 10**5 + ">",
+    "stray ends": "<p>" + "</i>" * 10**5,
+    "stray ends in blocks": "<i><div>" + "<span>" * 5000 + "</i>" * 10**5,
+    "open quotes": '<a x="y' * 10**5,
+    "odd quotes": '<a "' * (10**5 + 1) + ">",
+    "ends in quotes": '<a x=">" ' * 10**5,
+    "quotes of both kinds": "<a x=\">\"'" * 10**5,
+    "comments": "<!--" * 10**5,
+    "declarations": "<!x" * 10**5 + ">",
+    "bodies": "<span>" * 10**5 + "<body>" * 10**5,
+    "blocks in spans": "<span>" * 10**4 + "x<hr>" * 10**4,
+    "long number": "<p>&#" + "9" * 10**6 + ";",
+    "zeros": "<p>&#" + "0" * 10**6 + "65;",
+    "spaces": "<p " + "b" + " " * 10**6 + "c>t",
+    "class": "<p class='" + "menu-" * 10**5 + "'>t",
+}
+
+
+@pytest.mark.parametrize("name", CRAFTED)
+def test_crafted_pages_take_time_in_proportion(name):
+    import time
+
+    start = time.process_time()
+    main_text(CRAFTED[name])
+    assert time.process_time() - start < 2
+
+
+def test_long_numbers_of_characters():
+    assert main_text(CRAFTED["zeros"]) == "A"
+    assert main_text(CRAFTED["long number"]) == "�"
+    assert main_text("<p>&#x" + "0" * 5000 + "41; &#xFFFFFFFFFFFF; &#00;") == "A � �"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ends_of_tags_are_those_of_brute_force(seed):
+    rng = random.Random(seed)
+    source = "".join(rng.choice("\"'>< a=") for _ in range(60))
+    ends = html_text._TagEnds(source, 5)
+    for at in range(5, 60):
+        quote, end = None, -1
+        for i in range(at, 60):
+            if quote:
+                quote = None if source[i] == quote else quote
+            elif source[i] == ">":
+                end = i + 1
+                break
+            elif source[i] in "\"'":
+                quote = source[i]
+        assert ends.after(at) == end
+        m = html_text._TAG_REST.match(source, at)
+        assert (m.end() if m else -1) == end
