@@ -1,8 +1,10 @@
 """Repeated passages across documents, by content-defined chunks.
 
 A gear hash rolls over the bytes of a text: each byte shifts the hash by one bit and
-adds a random number of its own, so the leading bits depend on the last 16 bytes. A
-chunk ends where they are zero. Cuts thus follow the content: a passage is cut in the
+adds a random number of its own, so it depends on the last 16 bytes. A chunk ends after
+white space where the hash is low, so chunks have about as many words whether these are
+long or short; in writing without white space it ends where the leading bits are zero.
+Cuts thus follow the content: a passage is cut in the
 same way wherever it stands, but for a few bytes at its ends, and what is inserted
 before it moves nothing. Chunks are short against the passages looked for; they are
 counted in pairs of neighbours, told apart by a 64-bit digest, so that chunks which
@@ -41,15 +43,24 @@ from pyspark.sql.window import Window
 from tallyforge.llm.common import written
 from tallyforge.llm.jaccard_join import bit_map, in_bit_map
 
-# A cut where so many leading bits are zero: one in 16 places.
+# After white space a cut where the hash is below this, one in 3 places.
+CUT_BELOW = (1 << 16) // 3
+# So many bytes without white space are cut where so many leading bits are zero, one in
+# 16 places.
+BARE_BYTES = 16
 CUT_BITS = 4
 # Of the 16 values of these bits so many make a lesser cut.
 LESSER = 4
-LEAST_BYTES = 8
+LEAST_BYTES = 6
 MOST_BYTES = 64
-# Words in a run that make it a passage. A passage of 50 words keeps about 40 of them
-# between its first and its last cut.
-LEAST_WORDS = 25
+# Longer stretches without white space count as more than one word.
+WORD_BYTES = 12
+# Words in a run that make it a passage, and words in it and so many bytes before and
+# after. A passage of 51 words keeps 26 or more of them between its first and its last
+# cut, 15 or more if they have a letter each.
+LEAST_WORDS = 15
+LEAST_NEAR = 45
+NEAR_BYTES = 48
 COUNT_AT_ONCE = 1 << 22
 TASK_BITS = 33
 
@@ -81,7 +92,11 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     starts_character = np.ones(n + 1, dtype=bool)
     starts_character[:-1] = (data & 0xC0) != 0x80
-    leading = gear_hashes(data) >> np.uint16(16 - CUT_BITS)
+    hashes = gear_hashes(data)
+    leading = hashes >> np.uint16(16 - CUT_BITS)
+    space = _SPACES[data]
+    at = np.arange(n)
+    bare = at - np.maximum.accumulate(np.where(space, at, -1)) >= BARE_BYTES
 
     def cuts(where: np.ndarray) -> list[int]:
         places = np.flatnonzero(where) + 1
@@ -91,7 +106,7 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     # long chunks follow the content as well.
     lesser = cuts(leading < LESSER)
     ends, last = [], 0
-    for cut in [*cuts(leading == 0), n]:
+    for cut in [*cuts((space & (hashes < CUT_BELOW)) | (bare & (leading == 0))), n]:
         while cut - last > MOST_BYTES:
             at = bisect_right(lesser, last + MOST_BYTES) - 1
             forced = lesser[at] if at >= 0 else 0
@@ -128,19 +143,20 @@ _POWERS = np.random.default_rng(7).integers(0, 1 << 63, MOST_BYTES + 4).astype(
 ) * np.uint64(2) + np.uint64(1)
 
 
-def word_counts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How many words begin in each chunk."""
+def words_before(data: np.ndarray) -> np.ndarray:
+    """How many words begin before each byte, and in all."""
     space = _SPACES[data]
-    begins = ~space
-    begins[1:] &= space[:-1]
-    return np.add.reduceat(begins.astype(np.int64), np.concatenate(([0], ends[:-1])))
+    at = np.arange(len(data))
+    place = at - np.maximum.accumulate(np.where(space, at, -1)) - 1
+    begins = ~space & (place % WORD_BYTES == 0)
+    return np.concatenate(([0], np.cumsum(begins)))
 
 
 def _bytes_of(text) -> np.ndarray:
     return np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
 
 
-def repeated_digests(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_digests(documents: DataFrame) -> DataFrame:
     """``digest`` of units that occur twice or more in all documents."""
 
     def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +172,7 @@ def repeated_digests(documents: DataFrame, least_words: int = LEAST_WORDS) -> Da
             for text in batch.column("text"):
                 data = _bytes_of(text)
                 if len(data):
-                    waiting.append(units(data, chunk_ends(data), least_words)[0])
+                    waiting.append(units(data, chunk_ends(data), words_before(data))[0])
                     n_waiting += len(waiting[-1])
                 if n_waiting >= COUNT_AT_ONCE:
                     yield counted()
@@ -174,15 +190,16 @@ def repeated_digests(documents: DataFrame, least_words: int = LEAST_WORDS) -> Da
     )
 
 
-def units(data: np.ndarray, ends: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+def units(data: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
     """What is counted of a text: ``digest, first, last``, by first and last chunk.
 
     These are the pairs of neighbouring chunks, and chunks that have words enough alone.
+    ``words`` are those before each byte.
     """
     own, n = digests(data, ends).view(np.uint64), len(ends)
     pairs = (own[:-1] * _MIX) ^ (own[1:] + _BASE)
     pairs = (pairs ^ (pairs >> np.uint64(32))) * _BASE
-    alone = np.flatnonzero(word_counts(data, ends) >= least_words)
+    alone = np.flatnonzero(np.diff(words[ends], prepend=0) >= LEAST_WORDS)
     first = np.concatenate((np.arange(n - 1), alone))
     last = np.concatenate((np.arange(1, n), alone))
     digest = np.concatenate((pairs, own[alone])).view(np.int64)
@@ -191,34 +208,38 @@ def units(data: np.ndarray, ends: np.ndarray, least_words: int) -> tuple[np.ndar
 
 
 def _long_runs(
-    first: np.ndarray, last: np.ndarray, words: np.ndarray, least_words: int
+    first: np.ndarray, last: np.ndarray, inside: np.ndarray, near: np.ndarray, least_near: int
 ) -> np.ndarray:
     """Which units, in order, lie in runs of overlapping units with enough words.
 
-    ``words`` has how many words begin before each chunk, and in all.
+    ``inside`` has how many words begin before each chunk, in two rows for the chunk as
+    a unit's first and last, ``near`` the same with the bytes near it.
     """
     if not len(first):
         return np.zeros(0, dtype=bool)
     reach = np.maximum.accumulate(last)
     begins = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1])))
     stops = np.append(begins[1:], len(first))
-    enough = words[reach[stops - 1] + 1] - words[first[begins]] >= least_words
+    low, high = first[begins], reach[stops - 1]
+    enough = inside[1, high] - inside[0, low] >= LEAST_WORDS
+    enough &= near[1, high] - near[0, low] >= least_near
     return np.repeat(enough, stops - begins)
 
 
 def candidates(
-    documents: DataFrame, repeated: DataFrame, least_words: int = LEAST_WORDS
+    documents: DataFrame, repeated: DataFrame, least_near: int = LEAST_NEAR
 ) -> DataFrame:
     """Units in runs that may repeat, with their chunks, bytes and words before them.
 
-    ``row_id, doc_id, digest, first, last, start, end, words_before, words_to``.
+    ``row_id, doc_id, digest, first, last, start, end, words_before, words_to,
+    near_before, near_to``; the last two count words up to the bytes near the unit.
     ``row_id`` tells documents apart whose ids are equal or null. ``repeated`` has the
     digests that repeat; the map of them lets others through, which are to be left out.
     """
     wanted = documents.sparkSession.sparkContext.broadcast(bit_map(repeated, F.col("digest")))
     narrow = documents.select("doc_id", "text")
-    schema = T.StructType().add("row_id", "long").add(narrow.schema["doc_id"])
-    for name in ("digest", "first", "last", "start", "end", "words_before", "words_to"):
+    schema = T.StructType().add("row_id", "long").add(narrow.schema["doc_id"]).add("digest", "long")
+    for name in UNIT_COLUMNS:
         schema = schema.add(name, "long")
 
     def candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,18 +250,23 @@ def candidates(
                 data = _bytes_of(text)
                 if not len(data):
                     continue
-                ends = chunk_ends(data)
-                own, first, last = units(data, ends, least_words)
+                ends, words = chunk_ends(data), words_before(data)
+                own, first, last = units(data, ends, words)
                 at = np.flatnonzero(in_bit_map(wanted.value, own))
                 if not len(at):
                     continue
-                words = np.concatenate(([0], np.cumsum(word_counts(data, ends))))
-                at = at[_long_runs(first[at], last[at], words, least_words)]
+                starts = np.concatenate(([0], ends[:-1]))
+                inside = words[np.stack((starts, ends))]
+                around = np.stack((starts - NEAR_BYTES, ends + NEAR_BYTES)).clip(0, len(data))
+                near = words[around]
+                at = at[_long_runs(first[at], last[at], inside, near, least_near)]
                 if len(at):
-                    starts = np.concatenate(([0], ends[:-1]))
                     first, last = first[at], last[at]
                     parts.append(
-                        (own[at], first, last, starts[first], ends[last], words[first], words[last + 1])
+                        (
+                            own[at], first, last, starts[first], ends[last],
+                            inside[0, first], inside[1, last], near[0, first], near[1, last],
+                        )
                     )
                     ordinals.append(np.full(len(at), ordinal))
             if parts:
@@ -258,19 +284,24 @@ def candidates(
     return narrow.mapInArrow(candidate_task, schema)
 
 
+UNIT_COLUMNS = (
+    "first", "last", "start", "end", "words_before", "words_to", "near_before", "near_to"
+)
+
+
 def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "first", "last")
 
 
-def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_units(documents: DataFrame, least_near: int = LEAST_NEAR) -> DataFrame:
     """Units in repeated passages, with their run and where they occur first.
 
-    The columns of ``candidates`` without ``digest``, and ``run, first_doc_id,
-    is_first``; ``run`` is the first chunk of the unit's run.
+    The columns of ``candidates`` without ``digest`` and those on what is near, and
+    ``run, first_doc_id, is_first``; ``run`` is the first chunk of the unit's run.
     """
     # Written, so that the joins shuffle both sides and split a hot digest.
-    repeated = written(repeated_digests(documents, least_words), "repeated_digests")
-    exact = candidates(documents, repeated, least_words).join(repeated, "digest", "left_semi")
+    repeated = written(repeated_digests(documents), "repeated_digests")
+    exact = candidates(documents, repeated, least_near).join(repeated, "digest", "left_semi")
     # One document's units, which are no more than its text has.
     in_order = Window.partitionBy("row_id").orderBy("first", "last")
     reach = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
@@ -279,9 +310,18 @@ def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
         "run", F.last("begin", ignorenulls=True).over(in_order)
     )
     in_run = Window.partitionBy("row_id", "run")
-    run_words = F.max("words_to").over(in_run) - F.min("words_before").over(in_run)
-    runs = runs.withColumn("run_words", run_words).filter(F.col("run_words") >= least_words)
-    runs = written(runs.drop("begin", "run_words"), "repeated_units")
+
+    def words_of(to: str, before: str) -> Column:
+        return F.max(to).over(in_run) - F.min(before).over(in_run)
+
+    runs = runs.withColumns(
+        {
+            "run_words": words_of("words_to", "words_before"),
+            "run_near": words_of("near_to", "near_before"),
+        }
+    ).filter((F.col("run_words") >= LEAST_WORDS) & (F.col("run_near") >= least_near))
+    unused = ("begin", "run_words", "run_near", "near_to", "near_before")
+    runs = written(runs.drop(*unused), "repeated_units")
     firsts = written(runs.groupBy("digest").agg(F.min(_place()).alias("least")), "unit_firsts")
     is_first = (F.col("least.row_id") == F.col("row_id")) & (F.col("least.first") == F.col("first"))
     return (
@@ -292,11 +332,11 @@ def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     )
 
 
-def passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def passages(documents: DataFrame, least_near: int = LEAST_NEAR) -> DataFrame:
     """Repeated passages: ``doc_id, start, end, n_words, n_chunks, n_later, first_doc_id, kept``.
 
-    A row for each run of overlapping repeated units in a document, so documents without
-    one have no row. ``n_later`` counts chunks in units that occurred in a passage
+    A row for each run of overlapping repeated units in a document that has
+    ``least_near`` words with those near it, so documents without one have no row. ``n_later`` counts chunks in units that occurred in a passage
     before; ``kept`` is whether none did; ``first_doc_id`` is the first document that
     any of the units is in.
     """
@@ -307,7 +347,7 @@ def passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     reach = F.coalesce(F.max(F.when(later, F.col("last"))).over(before), F.lit(-1))
     more = F.greatest(F.col("last") - F.greatest(F.col("first") - 1, reach), F.lit(0))
     return (
-        repeated_units(documents, least_words)
+        repeated_units(documents, least_near)
         .withColumn("more", F.when(later, more).otherwise(F.lit(0)))
         .groupBy("row_id", "doc_id", "run")
         .agg(
@@ -325,13 +365,13 @@ def passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     )
 
 
-def drop_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def drop_repeats(documents: DataFrame, least_near: int = LEAST_NEAR) -> DataFrame:
     """``documents`` with each repeated passage left where it occurs first.
 
     ``doc_id`` must be unique and not null.
     """
     later = (
-        repeated_units(documents, least_words)
+        repeated_units(documents, least_near)
         .filter("not is_first")
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))

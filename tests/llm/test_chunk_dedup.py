@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import llm_data
 from tallyforge.llm import chunk_dedup as cd
@@ -62,7 +63,7 @@ def test_planted_passages_are_found_and_nothing_else(spark):
     assert {r.doc_id for r in got if r.kept} == firsts
     for r in got:
         assert r.first_doc_id in firsts
-        assert 25 <= r.n_words <= 92
+        assert 20 <= r.n_words <= 92
 
 
 def test_later_copies_are_cut_out(spark):
@@ -88,6 +89,89 @@ def test_awkward_documents(spark):
     assert all(r.n_words >= cd.LEAST_WORDS for r in rows)
 
 
+def letters(rng, n):
+    return " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+
+def numbers(rng, n):
+    return " ".join(str(rng.randint(10, 99)) for _ in range(n))
+
+
+def han(rng, n):
+    return "".join(chr(rng.randint(0x4E00, 0x7000)) for _ in range(n))
+
+
+@pytest.mark.parametrize(
+    "write, n, around, between",
+    [
+        (llm_data.words, 51, 80, " "), (numbers, 51, 80, " "), (numbers, 60, 80, " "),
+        (letters, 51, 80, " "), (letters, 60, 80, " "), (han, 400, 300, ""), (han, 3000, 300, ""),
+    ],
+)
+def test_passages_of_over_50_words_are_found(spark, write, n, around, between):
+    rng = random.Random(n)
+    rows = []
+    for _ in range(300):
+        passage = write(rng, n)
+        for _ in range(2):
+            parts = [write(rng, around), passage, write(rng, around)]
+            rows.append((len(rows), between.join(parts), None, None))
+    rows += [(1000 + i, write(rng, 2 * around), None, None) for i in range(300)]
+    found = {r.doc_id for r in cd.passages(llm_data.documents(spark, rows)).collect()}
+    assert sum(i in found for i in range(600)) >= 0.99 * 600
+    assert not any(i >= 1000 for i in found)
+
+
+def brute(rows, least_near):
+    """``passages`` by counting all units in one dict and walking over each text."""
+    texts = [(doc_id, at, (text or "").encode()) for at, (doc_id, text, *_) in enumerate(rows)]
+    where, own = {}, {}
+    for doc_id, at, data in texts:
+        if data:
+            array = np.frombuffer(data, dtype=np.uint8)
+            ends, words = cd.chunk_ends(array), cd.words_before(array)
+            own[at] = list(zip(*(c.tolist() for c in cd.units(array, ends, words)))), ends.tolist(), words
+            for digest, *_ in own[at][0]:
+                where.setdefault(digest, []).append(at)
+    runs = []
+    for doc_id, at, data in texts:
+        if not data:
+            continue
+        found, ends, words = own[at]
+        starts = [0, *ends[:-1]]
+        run = []
+        for digest, first, last in [*found, (None, len(data), None)]:
+            if digest is not None and len(where[digest]) < 2:
+                continue
+            if run and first > max(n for *_, n in run):
+                low, high = starts[run[0][1]], ends[max(n for *_, n in run)]
+                n_words = words[high] - words[low]
+                near = words[min(len(data), high + cd.NEAR_BYTES)] - words[max(0, low - cd.NEAR_BYTES)]
+                if n_words >= cd.LEAST_WORDS and near >= least_near:
+                    runs.append((doc_id, low, high, int(n_words)))
+                run = []
+            run.append((digest, first, last))
+    return sorted(runs, key=repr)
+
+
+@pytest.mark.parametrize("least_near", [cd.LEAST_NEAR, 60])
+def test_passages_are_those_of_brute_force(spark, least_near):
+    rows = llm_data.awkward_rows() + planted(8)[0]
+    rng = random.Random(1)
+    passage = letters(rng, 70)
+    rows += [(300 + i, f"{numbers(rng, 40)} {passage[i * 20 :]} {llm_data.words(rng, 40)}", None, None) for i in range(5)]
+    got = cd.passages(llm_data.documents(spark, rows), least_near).collect()
+    assert sorted(((r.doc_id, r.start, r.end, r.n_words) for r in got), key=repr) == brute(rows, least_near)
+
+
+def test_words_of_stretches_without_white_space():
+    data = as_bytes("ab " + "x" * 30 + "  c")
+    words = cd.words_before(data)
+    assert words[-1] == 1 + 3 + 1
+    assert np.flatnonzero(np.diff(words)).tolist() == [0, 3, 15, 27, 35]
+    assert cd.words_before(as_bytes("")).tolist() == [0]
+
+
 def test_empty_table(spark):
     assert cd.passages(llm_data.empty(spark)).count() == 0
     assert cd.passages(llm_data.documents(spark, [(1, None, None, None), (2, "", None, None)])).count() == 0
