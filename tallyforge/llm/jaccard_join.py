@@ -21,8 +21,9 @@ beforehand; any choice is right, so the list of them may be bounded.
 **Verification.** Sets with equal shingles are one node. In every group of nodes that
 share a sketch all are compared with one, the least. Where this leaves a group in
 several components, the pairs across components are compared: directly in small
-groups, in tiles in large ones. So a group of copies costs its size, and no group
-lists all its pairs. Pairs are first held against bit sketches, the parities of
+groups; the sets of large ones, which share a template, meet again by the shingles that
+few of them have, and sets with few such by the template's part they have. So a group of
+copies costs its size, as does one of a template, and no group lists all its pairs. Pairs are first held against bit sketches, the parities of
 shingles in a number of bits, whose Hamming distance is a lower bound of the sets'
 difference as well; for the few that pass, the shingles' hashes are compared.
 
@@ -507,9 +508,10 @@ def verified(documents: DataFrame, surveyed: DataFrame, pairs: DataFrame) -> Dat
 def _tile_pairs(tile: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a tile across components whose bit sketches allow them to be alike.
 
-    Rows of side 0 are compared with those of side 1, or with each other where the
-    tile is on the diagonal and has side 0 alone. A pair that is seen to share an
-    earlier group is left to that group.
+    ``bits`` are of ``c`` of a set's ``n`` shingles, and all that two sets have in common
+    is among these. Rows of side 0 are compared with those of side 1, or with each other
+    where the tile is on the diagonal and has side 0 alone. A pair that is seen to share
+    an earlier group is left to that group.
     """
     key = tile["key"].iloc[0]
     earlier = np.full((len(tile), KNOWN_GROUPS), key)
@@ -521,16 +523,17 @@ def _tile_pairs(tile: pd.DataFrame) -> pd.DataFrame:
     right = left if right.empty else right
     size = min(map(len, tile["bits"]))
     bits = np.stack([folded(np.frombuffer(b, dtype=np.uint8), size) for b in right["bits"]])
-    n_right, roots = right["n"].to_numpy(), right["root"].to_numpy()
-    ids, places = right["set_id"].to_numpy(), right["at"].to_numpy()
+    n_right, c_right = right["n"].to_numpy(), right["c"].to_numpy()
+    ids, places, roots = right["set_id"].to_numpy(), right["at"].to_numpy(), right["root"].to_numpy()
     found = []
     for row in left.itertuples(index=False):
+        most = 7 * (c_right + row.c) - 6 * (n_right + row.n)
         possible = (roots != row.root) & (4 * n_right >= 3 * row.n) & (3 * n_right <= 4 * row.n)
-        at = np.flatnonzero(possible)
+        at = np.flatnonzero(possible & (most >= 0))
         if len(at):
             own = folded(np.frombuffer(row.bits, dtype=np.uint8), size)
             distance = np.bitwise_count(bits[at] ^ own).sum(axis=1)
-            at = at[7 * distance <= n_right[at] + row.n]
+            at = at[7 * distance <= most[at]]
             before = earlier[row.at][earlier[row.at] < key]
             at = at[~np.isin(earlier[places[at]], before).any(axis=1)]
             for other, n in zip(ids[at].tolist(), n_right[at].tolist()):
@@ -538,35 +541,27 @@ def _tile_pairs(tile: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(set(found)), columns=["a", "n_a", "b", "n_b"]).astype("int64")
 
 
-def remaining_pairs(members: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs that share a key, are in different components and were not compared yet.
-
-    Returns ``a, n_a, b, n_b``. ``members`` are ``key, set_id, n``; a key's least node was compared with all.
-    """
-    placed = (
-        members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .withColumn("root", F.coalesce("root", "set_id"))
-        .select("key", "set_id", "n", "root")
-    )
-    groups = (
-        placed.groupBy("key")
+def _groups(rows: DataFrame) -> DataFrame:
+    """``key, members, least`` of the groups that have several components."""
+    return (
+        rows.groupBy("key")
         .agg(
             F.min("root").alias("low"),
             F.max("root").alias("high"),
             F.min("set_id").alias("least"),
             F.count("*").alias("members"),
         )
-        .filter("low != high and members > 2")
-    )
-    open_rows = written(
-        placed.join(groups.select("key", "least", "members"), "key").filter("set_id != least"),
-        "open_members",
-    )
-    small = open_rows.filter(F.col("members") <= SMALL_GROUP).select("key", "set_id", "n", "root")
-    other = small.select(
-        "key", *(F.col(c).alias(f"{c}_2") for c in ("set_id", "n", "root"))
+        .filter("low != high")
+        .drop("low", "high")
     )
-    direct = (
+
+
+def _direct_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, n_a, b, n_b`` across components in small groups."""
+    columns = ("set_id", "n", "root")
+    small = rows.select("key", *columns)
+    other = small.select("key", *(F.col(c).alias(f"{c}_2") for c in columns))
+    return (
         small.join(other, "key")
         .filter("set_id < set_id_2 and root != root_2 and 4 * n >= 3 * n_2 and 4 * n_2 >= 3 * n")
         .select(
@@ -574,21 +569,24 @@ def remaining_pairs(members: DataFrame, roots: DataFrame, bits: DataFrame) -> Da
             F.col("set_id_2").alias("b"), F.col("n_2").alias("n_b"),
         )
     )
-    # Large groups: every member goes to the tiles of its row and column.
-    of_large = open_rows.filter(F.col("members") > SMALL_GROUP)
-    # No more than a set's own sketches are gathered here.
-    known = of_large.groupBy("set_id").agg(
+
+
+def _tiled_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs as of ``_tile_pairs`` in groups ``key, set_id, n, c, root, bits, members``.
+
+    Every member goes to the tiles of its row and column.
+    """
+    # No more than a set's own keys are gathered here.
+    known = rows.groupBy("set_id").agg(
         F.slice(F.sort_array(F.collect_set("key")), 1, KNOWN_GROUPS).alias("known")
     )
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), tiles).cast("int")
-    tiled = (
-        of_large.join(bits, "set_id")
-        .join(known, "set_id")
-        .withColumn("own", own)
+    return (
+        rows.join(known, "set_id")
+        .withColumn("own", F.pmod(F.xxhash64("set_id"), tiles).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select(
-            "key", "set_id", "n", "root", "bits", "known",
+            "key", "set_id", "n", "c", "root", "bits", "known",
             F.least("own", "with").alias("row"),
             F.greatest("own", "with").alias("column"),
             F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
@@ -596,7 +594,153 @@ def remaining_pairs(members: DataFrame, roots: DataFrame, bits: DataFrame) -> Da
         .groupBy("key", "row", "column")
         .applyInPandas(_tile_pairs, "a bigint, n_a bigint, b bigint, n_b bigint")
     )
-    return direct.union(tiled).distinct()
+
+
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """Sorted shingles that very many of the sets have, bounded in number.
+
+    Any choice is right; the more of a template are among them, the less is compared.
+    """
+
+    def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        n_waiting = 0
+
+        def often() -> pa.RecordBatch:
+            seen, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            seen, n = seen[n >= REPORT_FROM], n[n >= REPORT_FROM]
+            return pa.RecordBatch.from_arrays([_signed(seen), pa.array(n)], ["shingle", "n"])
+
+        for batch in batches:
+            for shingles in batch.column("shingles"):
+                waiting.append(np.frombuffer(shingles.as_py(), dtype=np.uint64))
+                n_waiting += len(waiting[-1])
+                if n_waiting >= COUNT_AT_ONCE:
+                    yield often()
+                    n_waiting = 0
+        if waiting:
+            yield often()
+
+    rows = (
+        sets.select("shingles")
+        .mapInArrow(count_task, "shingle bigint, n bigint")
+        .groupBy("shingle")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= COMMON_FROM)
+        .orderBy(F.desc("n"), "shingle")
+        .limit(COMMON_SKETCHES)
+        .toArrow()
+    )
+    return np.sort(rows["shingle"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def split_sets(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """Sets by their own shingles and, if these are few, by their common ones.
+
+    Rows with ``set_id, n, key``, a set's first own shingles, by value, up to one more
+    than a quarter of the set. A set with fewer than these has a row without ``key``, and
+    with ``c, part, bits``: number, digest and bit sketch of its common shingles.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+    schema = "set_id bigint, n bigint, key bigint, c bigint, part bigint, bits binary"
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+
+    def split_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids, sizes, heavy = [], [], [], []
+            for digest, packed in zip(batch.column("set_id").to_pylist(), batch.column("shingles")):
+                shingles = np.frombuffer(packed.as_py(), dtype=np.uint64)
+                is_common = np.isin(shingles, common, assume_unique=True)
+                n, needed = len(shingles), len(shingles) // 4 + 1
+                own = shingles[~is_common][:needed]
+                keys.append(own)
+                ids.append(np.full(len(own), digest))
+                sizes.append(np.full(len(own), n))
+                if len(own) < needed:
+                    part = shingles[is_common]
+                    heavy.append((digest, n, None, len(part), set_id(part), bit_sketch(part)))
+            columns = [np.concatenate(c) for c in (ids, sizes, [k.view(np.int64) for k in keys])]
+            none = [pa.nulls(len(columns[0]), kind) for kind in kinds[3:]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *none], NAMES)
+            if heavy:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, kind) for c, kind in zip(zip(*heavy), kinds)], NAMES
+                )
+
+    return written(sets.select("set_id", "shingles").mapInArrow(split_task, schema), "split_sets")
+
+
+NAMES = ["set_id", "n", "key", "c", "part", "bits"]
+
+
+def _heavy_pairs(split: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of large groups that have nothing but common shingles in common.
+
+    Sets of equal common parts are compared with the smallest of them: two of them that
+    are alike by this part alone are alike to that one. The smallest of each part, and
+    those that are not alike to it, are left to be compared across parts, as far as their
+    part is large enough for any set of their group.
+    """
+    heavy = split.filter("key is null").drop("key")
+    # Written, so that the join shuffles both sides and splits a large part.
+    least = written(
+        heavy.groupBy("part").agg(F.min(F.struct("n", "set_id")).alias("least")), "part_least"
+    )
+    held = heavy.join(least, "part").withColumns(
+        {"is_least": F.col("set_id") == F.col("least.set_id"), "n_least": F.col("least.n")}
+    )
+    alike = F.expr("7 * c >= 3 * (n + n_least)")
+    stars = held.filter(alike & ~F.col("is_least")).select(
+        F.col("least.set_id").alias("a"), F.col("n_least").alias("n_a"),
+        F.col("set_id").alias("b"), F.col("n").alias("n_b"),
+    )
+    left = held.filter(~alike | F.col("is_least")).select("set_id", "n", "c", "bits")
+    rows = large.select("key", "set_id", "root").join(left, "set_id")
+    smallest = rows.groupBy("key").agg(F.min("n").alias("smallest"))
+    rows = written(rows.join(smallest, "key").filter("7 * c >= 3 * (n + smallest)"), "heavy_rows")
+    return stars.union(_tiled_pairs(rows.join(_groups(rows), "key")))
+
+
+def remaining_pairs(
+    documents: DataFrame, surveyed: DataFrame, members: DataFrame, roots: DataFrame, bits: DataFrame
+) -> DataFrame:
+    """Pairs that share a key, are in different components and were not compared yet.
+
+    Returns ``a, n_a, b, n_b``. ``members`` are ``key, set_id, n``; a key's least node was
+    compared with all. Small groups are compared pair by pair. The sets of large groups
+    meet again by single shingles, the rarer ones first: two that are alike share one of
+    the first n / 4 + 1 of each. That is a shingle few sets have, or else they have only
+    common shingles in common.
+    """
+
+    def with_roots(rows: DataFrame) -> DataFrame:
+        return (
+            rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+            .withColumn("root", F.coalesce("root", "set_id"))
+            .select("key", "set_id", "n", "root")
+        )
+
+    placed = with_roots(members)
+    groups = _groups(placed).filter("members > 2")
+    open_rows = written(placed.join(groups, "key").filter("set_id != least"), "open_members")
+    is_small = F.col("members") <= SMALL_GROUP
+    direct = _direct_pairs(open_rows.filter(is_small))
+    large = open_rows.filter(~is_small)
+    if large.isEmpty():
+        return direct.distinct()
+    sets = node_sets(documents, surveyed, large.select("set_id"))
+    split = split_sets(sets, common_shingles(sets))
+    own = with_roots(split.filter("key is not null").select("key", "set_id", "n"))
+    own = written(own.join(_groups(own), "key"), "own_shingles")
+    by_own = _direct_pairs(own.filter(is_small))
+    # Shingles of many sets that are not among the common ones, as far as there are.
+    crowded = own.filter(~is_small).withColumn("c", F.col("n")).join(bits, "set_id")
+    pairs = direct.union(by_own).union(_tiled_pairs(crowded)).union(_heavy_pairs(split, large))
+    return pairs.distinct()
 
 
 @dataclass
@@ -626,8 +770,8 @@ def near_duplicates(documents: DataFrame) -> NearDuplicates:
         .distinct()
     )
     star_links = verified(documents, surveyed, possible(stars, bits))
-    rest = possible(remaining_pairs(members, components(star_links), bits), bits)
-    links = star_links.union(verified(documents, surveyed, rest))
+    rest = remaining_pairs(documents, surveyed, members, components(star_links), bits)
+    links = star_links.union(verified(documents, surveyed, possible(rest, bits)))
     roots = components(links)
     documents_of = (
         surveyed.filter("sketch is null")

@@ -77,18 +77,71 @@ def test_components_are_those_of_brute_force(spark, seed):
     assert got(spark, rows) == expected(rows)
 
 
-def test_large_groups_go_through_tiles(spark, monkeypatch):
+def templated(rng, n, share, edits=0, size=80, spread=0):
+    """Texts of which a share is one template; some are near copies of others."""
+    template = llm_data.words(rng, int(size * share)).split()
+    rows = []
+    for k in range(n):
+        words = list(template)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = llm_data.words(rng, 1)
+        words += llm_data.words(rng, round(size * (1 - share)) + rng.randint(-spread, spread)).split()
+        rows.append((k, " ".join(words), None, None))
+    for k in range(0, n, 3):
+        words = rows[rng.randrange(n)][1].split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = llm_data.words(rng, 1)
+        rows.append((n + k, " ".join(words), None, None))
+    return rows
+
+
+@pytest.mark.parametrize(
+    "share, edits, spread",
+    [(0.6, 0, 0), (0.7, 1, 0), (0.85, 0, 0), (0.85, 0, 9), (0.88, 1, 0), (0.95, 1, 9)],
+)
+def test_groups_of_a_template_are_those_of_brute_force(spark, monkeypatch, share, edits, spread):
+    monkeypatch.setattr(jj, "SMALL_GROUP", 3)
+    monkeypatch.setattr(jj, "COMMON_FROM", 12)
+    monkeypatch.setattr(jj, "TILE", 8)
+    rows = templated(random.Random(int(100 * share) + edits), 60, share, edits, spread=spread)
+    assert got(spark, rows) == expected(rows)
+
+
+@pytest.mark.parametrize("common", ["none", "half"])
+def test_any_choice_of_common_shingles_is_right(spark, monkeypatch, common):
     monkeypatch.setattr(jj, "SMALL_GROUP", 3)
     monkeypatch.setattr(jj, "TILE", 8)
-    rng = random.Random(5)
-    passage = llm_data.words(rng, 60)
-    rows = [(k, f"{passage} {llm_data.words(rng, 21)}", None, None) for k in range(60)]
-    # Pairs that only the tiles can find: alike each other, not the others.
-    for k in range(0, 20, 2):
-        rows.append((100 + k, rows[k][1] + " one more", None, None))
+    choose = jj.common_shingles
+    monkeypatch.setattr(jj, "common_shingles", lambda sets: choose(sets)[:: {"none": 10**9, "half": 2}[common]])
+    rows = templated(random.Random(3), 60, 0.85)
     assert got(spark, rows) == expected(rows)
 
 
+def compared(spark, monkeypatch, n, share):
+    """How many pairs are left to be compared in groups of a template."""
+    counts = []
+    inner = jj.remaining_pairs
+
+    def counted(*args):
+        pairs = inner(*args)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jj, "remaining_pairs", counted)
+    rng = random.Random(1)
+    rows = templated(rng, n, share, size=200)
+    found = jj.near_duplicates(llm_data.documents(spark, rows, clashing=False))
+    monkeypatch.setattr(jj, "remaining_pairs", inner)
+    return found.members.count(), counts[0]
+
+
+@pytest.mark.parametrize("share", [0.7, 0.85])
+def test_pairs_compared_grow_with_the_group(spark, monkeypatch, share):
+    for n in (300, 1500):
+        documents, pairs = compared(spark, monkeypatch, n, share)
+        assert pairs <= 5 * documents
+
+
 def test_awkward_documents(spark):
     rows = llm_data.awkward_rows()
     assert got(spark, rows) == expected(rows)
