@@ -9,29 +9,36 @@ the logarithm of the text's length.
 
 The language of a document is the one with the largest share, and its score that
 share. A text that is null or has no letter is ``und`` with score 0, and so is
-every text if nothing was learnt. A null ``lang`` is not learnt from. Repeated
+every text if nothing was learnt. A null ``lang`` is not learnt from; more than 256
+different ones raise an error. Repeated
 rows count as often as they occur; extra columns are ignored; an empty table gives
 an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.llm.common import written
+
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 # Added to every count; unseen trigrams keep a small likelihood.
 SMOOTHING = 0.5
 # A language more must raise the log-likelihood by this, times log(trigrams).
 PENALTY = 4.0
+# The model has a likelihood for each trigram bucket and language, so these are bounded.
+MAX_LANGUAGES = 256
+# A task counts so many trigrams of languages at once.
+COUNT_AT_ONCE = 1 << 22
 ROUNDS = 60
 TOLERANCE = 1e-4
 
@@ -39,7 +46,8 @@ UNDETERMINED = "und"
 
 # ASCII other than letters becomes a space.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+# Not numbers, as in the sign for one half or a Roman numeral of one character.
+_ANY_LETTER = regex.compile(r"\p{L}")
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -67,35 +75,48 @@ def fit(documents: DataFrame) -> LanguageModel:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang")):
-                text, lang = text.as_py(), lang.as_py()
-                if _ANY_LETTER.search(text):
-                    if lang not in totals:
-                        totals[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                    buckets, n = np.unique(trigrams(text), return_counts=True)
-                    totals[lang][buckets] += n
-        for lang, counts in totals.items():
-            seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
+        numbers: dict[str, int] = {}
+        waiting: list[np.ndarray] = []
+        n_waiting = 0
+
+        def counted() -> pa.RecordBatch:
+            seen, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            names = pa.array(list(numbers), pa.string())
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * len(seen)),
-                    pa.array(seen.astype(np.int32)),
-                    pa.array(counts[seen]),
+                    names.take(pa.array(seen >> BUCKET_BITS)),
+                    pa.array((seen & (BUCKETS - 1)).astype(np.int32)),
+                    pa.array(n),
                 ],
                 ["lang", "bucket", "n"],
             )
 
-    counts = (
+        for batch in batches:
+            for text, lang in zip(batch.column("text"), batch.column("lang")):
+                text = text.as_py()
+                if _ANY_LETTER.search(text):
+                    number = numbers.setdefault(lang.as_py(), len(numbers))
+                    waiting.append(trigrams(text).astype(np.int64) | (number << BUCKET_BITS))
+                    n_waiting += len(waiting[-1])
+                if n_waiting >= COUNT_AT_ONCE:
+                    yield counted()
+                    n_waiting = 0
+        if waiting:
+            yield counted()
+
+    totals = written(
         documents.select("text", F.col("lang").cast("string").alias("lang"))
         .filter("text is not null and lang is not null")
         .mapInArrow(count, "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-        .to_pandas()
+        .agg(F.sum("n").alias("n")),
+        "language_counts",
     )
+    n_languages = totals.select("lang").distinct().count()
+    if n_languages > MAX_LANGUAGES:
+        raise ValueError(f"{n_languages} values of lang, more than {MAX_LANGUAGES}")
+    counts = totals.toArrow().to_pandas()
     languages = sorted(counts["lang"].unique())
     table = np.zeros((BUCKETS, len(languages)))
     column = counts["lang"].map({lang: i for i, lang in enumerate(languages)})

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -55,6 +57,85 @@ def test_mixed_texts_have_two_languages(spark):
     assert sum(found.values()) == pytest.approx(1, abs=1e-6)
 
 
+def brute_trigrams(text):
+    """Counts of hashed byte trigrams, byte by byte."""
+    data = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    data = b" " + b" ".join(data.split()) + b" "
+    codes = (int.from_bytes(data[i : i + 3]) for i in range(len(data) - 2))
+    return Counter(((c * 0x9E3779B1) % 2**32) >> (32 - lm.BUCKET_BITS) for c in codes)
+
+
+def test_model_is_that_of_brute_force(spark):
+    rows = [r for r in llm_data.awkward_rows() if r[1] is None or len(r[1]) < 3000]
+    expected = {}
+    for _, text, lang, _ in rows:
+        if text is not None and lang is not None and any(c.isalpha() for c in text):
+            expected.setdefault(lang, Counter()).update(brute_trigrams(text))
+    model = lm.fit(llm_data.documents(spark, rows))
+    assert model.languages == sorted(expected)
+    for i, lang in enumerate(model.languages):
+        own = np.full(lm.BUCKETS, lm.SMOOTHING)
+        for bucket, n in expected[lang].items():
+            own[bucket] += n
+        assert np.allclose(model.likelihoods[:, i], own / own.sum(), rtol=1e-12, atol=0)
+
+
+def brute_mixture(model, text):
+    """Languages by plain expectation-maximisation, trigram by trigram, set by set."""
+    counts = brute_trigrams(text)
+
+    def fitted(chosen):
+        pi = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(400 if len(chosen) > 1 else 1):
+            new = dict.fromkeys(chosen, 0.0)
+            for bucket, n in counts.items():
+                likely = {k: pi[k] * model.likelihoods[bucket, k] for k in chosen}
+                for k in chosen:
+                    new[k] += n * likely[k] / sum(likely.values())
+            pi = {k: v / counts.total() for k, v in new.items()}
+        return pi, sum(
+            n * np.log(sum(pi[k] * model.likelihoods[b, k] for k in chosen)) for b, n in counts.items()
+        )
+
+    everything, _ = fitted(range(len(model.languages)))
+    ranked = sorted(everything, key=lambda k: -everything[k])
+    best = max((fitted([k]) for k in ranked), key=lambda f: f[1])
+    for size in range(2, len(ranked) + 1):
+        pi, likelihood = fitted(ranked[:size])
+        if likelihood - lm.PENALTY * np.log(counts.total() + 1) <= best[1]:
+            break
+        best = pi, likelihood - lm.PENALTY * np.log(counts.total() + 1)
+    return {model.languages[k]: v for k, v in best[0].items()}
+
+
+def test_mixtures_are_those_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lm.fit(docs)
+    texts = [r.text[:300] for r in docs.orderBy("doc_id").limit(24).collect()]
+    texts += [a + " " + b for a, b in zip(texts[:6], texts[6:12])]
+    for text in texts:
+        got, expected = dict(lm.mixture(model, text)), brute_mixture(model, text)
+        assert set(got) == set(expected)
+        assert all(abs(got[k] - expected[k]) < 0.02 for k in got)
+
+
+@pytest.mark.parametrize("text", ["½", "² ³", "Ⅷ", "①②", "12 _ 3", "", " ", "٣", "🙂", None])
+def test_texts_without_a_letter_are_undetermined(model, text):
+    assert lm.mixture(model, text) == []
+
+
+@pytest.mark.parametrize("text", ["a", "½a", "日", "ª", "ʰ", "Ñ"])
+def test_a_letter_is_enough(model, text):
+    assert lm.mixture(model, text)
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, "some text", f"l{i}", None) for i in range(lm.MAX_LANGUAGES + 1)]
+    with pytest.raises(ValueError, match="257 values of lang"):
+        lm.fit(llm_data.documents(spark, rows))
+    assert len(lm.fit(llm_data.documents(spark, rows[:-1])).languages) == lm.MAX_LANGUAGES
+
+
 def test_awkward_documents(spark):
     rows = lm.predict(llm_data.documents(spark)).collect()
     assert len(rows) == len(llm_data.awkward_rows())
