@@ -46,8 +46,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def task_count(spark: SparkSession) -> int:
-    """Partitions of the session's shuffles, for explicit repartitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

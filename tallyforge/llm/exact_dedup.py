@@ -12,12 +12,14 @@ Everything here is built of DataFrame functions:
    folder; no text is kept.
 2. The directory is worked out from counts of keys under every prefix. A bucket
    is the shortest prefix that fits, which is where repeated splitting stops.
-3. A second scan brings equal texts together. The aggregate is keyed by the text
-   itself, so bytes are compared, and it is combined before the shuffle: a text
-   that a third of all documents repeat costs one row per scan task.
-4. What is left per distinct text is thin. It is dealt by ranges of keys to owner
-   tasks, which number the chain of each key and write their buckets' files.
-5. Every entry finds its text's index row by key and digest.
+3. A second scan deals texts to owner tasks by the directory's slots, which are ranges
+   of keys. An owner brings the texts of a key together, compares them byte by byte,
+   numbers the chain of different ones, and decides which document of each stays.
+4. Keys of very many documents, a bounded number, are dealt after their copies were
+   combined in the scan's tasks: a text that a third of all documents repeat costs its
+   owner a row.
+5. The owners' rows are written with their buckets, and every entry finds its text's row
+   by key and digest.
 
 Nulls count as empty texts. Documents that repeat a ``doc_id`` with the same text
 are one document to the rule, so all of them are kept or none; a null ``doc_id``
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import task_count, text_or_empty, written
+from tallyforge.llm.common import text_or_empty, written
 
 # Distinct keys that a bucket may hold before it is split.
 BUCKET_KEYS = 4096
 # Bits by which a directory may be deeper than evenly spread keys would need.
 SPARE_BITS = 4
+# At most so many keys are those of very many documents: each has one in so many of all.
+MAX_HOT_KEYS = 4096
 
 KEY_BITS = 64
 
@@ -94,42 +98,56 @@ def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFram
     return buckets, depth
 
 
-def distinct_texts(documents: DataFrame) -> DataFrame:
-    """``key, n_bytes, text_sha256, keep_id, group_size`` of every distinct text."""
+def hot_keys(keys: DataFrame, least: int) -> DataFrame:
+    """``key`` of those that very many entries have, ``MAX_HOT_KEYS`` at most, written."""
+    least = max(least, keys.count() // MAX_HOT_KEYS)
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
+    return written(counts.filter(F.col("n") > least).select("key"), "exact_hot_keys")
+
+
+def owned_texts(documents: DataFrame, hot: DataFrame, depth: int) -> DataFrame:
+    """What the owners of a directory's slots make of their texts.
+
+    ``slot, key, n_bytes, text_sha256, keep_id, group_size, chain`` of every distinct
+    text; ``chain`` numbers the texts that share a key, from 0.
+    """
     text = text_or_empty()
+    rows = documents.select("doc_id", _key(text).alias("key"), text.alias("text"))
+    few = F.broadcast(hot)
+    dealt = rows.join(few, "key", "left_anti").select(
+        "key", "text", "doc_id", F.lit(1).cast("bigint").alias("n")
+    )
+    if not hot.isEmpty():
+        combined = rows.join(few, "key", "left_semi").groupBy("key", "text")
+        dealt = dealt.unionByName(
+            combined.agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
+        )
+    # Dealt by slot once; nothing after it moves a row.
     return (
-        documents.select("doc_id", _key(text).alias("key"), text.alias("text"))
-        .groupBy("key", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        dealt.withColumn("slot", _prefix(F.col("key"), depth))
+        .repartition("slot")
+        .groupBy("slot", "key", "text")
+        .agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
         .select(
+            "slot",
             "key",
             F.octet_length("text").cast("bigint").alias("n_bytes"),
             F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
             "keep_id",
             "group_size",
         )
+        .withColumn(
+            "chain",
+            F.row_number().over(Window.partitionBy("slot", "key").orderBy("text_sha256")) - 1,
+        )
     )
 
 
 def build_index(documents: DataFrame, keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """The index as a shared table: a row for each distinct text, in its bucket.
-
-    ``chain`` numbers the texts that share a key, from 0.
-    """
+    """The index as a shared table: a row for each distinct text, in its bucket."""
     slots, depth = directory(keys, bucket_keys)
-    # Written first: dealing by ranges reads its input twice.
-    texts = written(distinct_texts(documents), "exact_texts")
-    owned = texts.repartitionByRange(task_count(documents.sparkSession), "key")
-    chained = owned.withColumn(
-        "chain",
-        F.row_number().over(Window.partitionBy("key").orderBy("text_sha256")) - 1,
-    )
-    in_bucket = (
-        chained.withColumn("slot", _prefix(F.col("key"), depth))
-        .join(slots, "slot")
-        .drop("slot")
-    )
-    return written(in_bucket, "exact_index")
+    texts = written(owned_texts(documents, hot_keys(keys, bucket_keys), depth), "exact_texts")
+    return written(texts.join(slots, "slot").drop("slot"), "exact_index")
 
 
 def exact_groups(documents: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import pytest
 
 import llm_data
 from tallyforge.llm import exact_dedup
@@ -66,6 +68,36 @@ def test_empty_table(spark):
     assert exact_dedup.drop_copies(llm_data.empty(spark)).count() == 0
 
 
-def test_main_path_is_native(spark, plan_of):
-    plan = plan_of(exact_dedup.distinct_texts(llm_data.documents(spark, clashing=False)))
-    assert "Python" not in plan and "Arrow" not in plan
+def many_copies():
+    hot = [(i, "a text that very many have", None, None) for i in range(200)]
+    return hot + [(1000 + i, f"text {i % 40}", None, None) for i in range(90)] + llm_data.awkward_rows()
+
+
+@pytest.mark.parametrize("bucket_keys", [1, 50, 4096])
+def test_hot_keys_are_combined_before_they_are_dealt(spark, bucket_keys):
+    rows = many_copies()
+    docs = llm_data.documents(spark, rows)
+    got = exact_dedup.exact_groups(docs, bucket_keys).select(*exact_dedup.QUERY_COLUMNS)
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
+    hot = exact_dedup.hot_keys(exact_dedup.entries(docs), bucket_keys)
+    assert hot.count() == sum(n > bucket_keys for n in Counter(t or "" for _, t, *_ in rows).values())
+
+
+def test_hot_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_HOT_KEYS", 3)
+    keys = spark.range(1000).selectExpr("id % 5 as key")
+    assert exact_dedup.hot_keys(keys, 1).count() == 0
+    assert exact_dedup.hot_keys(keys.filter("key < 2"), 1).count() == 2
+
+
+def test_owners_decide_after_one_exchange(spark, plan_of):
+    docs = llm_data.documents(spark, many_copies(), clashing=False)
+    none = exact_dedup.hot_keys(exact_dedup.entries(docs), 10_000)
+    plan = plan_of(exact_dedup.owned_texts(docs, none, 8))
+    # One exchange deals the texts; the broadcast of hot keys is none of rows.
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(slot" in plan
+    some = exact_dedup.hot_keys(exact_dedup.entries(docs), 50)
+    for keys in (none, some):
+        plan = plan_of(exact_dedup.owned_texts(docs, keys, 8))
+        assert "Python" not in plan and "Arrow" not in plan
