@@ -10,9 +10,9 @@ offset in the phrase, from the term that is rarest in the whole corpus on; most
 phrases end at the first list or two. A proximity match needs the rarest terms of
 a window near each other, in any order.
 
-The benchmark is searched in blocks of a bounded number of words, so what is sent
-to the tasks has a bound whatever the size of the benchmark. A segment stores the
-terms of the block where there is one block, and else all terms.
+The index stores all terms, whatever the benchmark, and serves any number of searches.
+A benchmark is searched in blocks of a bounded number of words, so what is sent to the
+tasks has a bound; each block reads the index once.
 
 A-Z are lower-cased; a word is a run of other characters than the ASCII ones that
 are neither letters nor digits. A null or empty text has no words. Documents are
@@ -24,7 +24,7 @@ no document is hit.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +39,7 @@ from tallyforge.llm.common import written
 WINDOW_WORDS = 10
 SEGMENT_WORDS = 1_000_000
 # Words of benchmark items that are searched at once.
-BLOCK_WORDS = 100_000
+BLOCK_WORDS = 400_000
 # Proximity: so many of a window's rarest terms, within so many words of the rarest.
 NEAR_TERMS = 4
 NEAR_WORDS = 16
@@ -69,9 +69,8 @@ def words_of(text: str | None) -> list[bytes]:
 class _Segment:
     """Documents of one segment on their way into the index."""
 
-    def __init__(self, terms: dict[bytes, int] | None):
-        self._known = terms
-        self._terms = {} if terms is None else terms
+    def __init__(self):
+        self._terms: dict[bytes, int] = {}
         self._parts: list[np.ndarray] = []
         self.doc_ids: list = []
         self.starts: list[int] = []
@@ -80,11 +79,9 @@ class _Segment:
 
     def add(self, doc_id, text: str | None) -> None:
         words = words_of(text)
-        if self._known is None:
-            for word in set(words).difference(self._terms):
-                self._terms[word] = len(self._terms)
-        get = self._terms.get
-        self._parts.append(np.array([get(w, -1) for w in words], dtype=np.int32))
+        terms = self._terms
+        numbers = [terms.setdefault(w, len(terms)) for w in words]
+        self._parts.append(np.array(numbers, dtype=np.int32))
         self.doc_ids.append(doc_id)
         self.starts.append(self.end)
         self.lengths.append(len(words))
@@ -96,29 +93,22 @@ class _Segment:
         lengths = np.array(self.lengths, dtype=np.int64)
         ids = np.concatenate(self._parts)
         first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        places = np.arange(len(ids)) + np.repeat(starts - first, lengths)
-        kept = ids >= 0
-        ids, places = ids[kept], places[kept].astype("<i4")
+        places = (np.arange(len(ids)) + np.repeat(starts - first, lengths)).astype("<i4")
         order = np.argsort(ids, kind="stable")
-        present, counts = np.unique(ids, return_counts=True)
-        names = list(self._terms)
         return (
             self.doc_ids,
             starts.astype("<i4").tobytes(),
             lengths.astype("<i4").tobytes(),
-            [names[t] for t in present],
-            counts.astype("<i4").tobytes(),
+            list(self._terms),
+            np.bincount(ids).astype("<i4").tobytes(),
             places[order].tobytes(),
         )
 
 
-def build_index(
-    documents: DataFrame, terms: Iterable[bytes] | None = None, segment_words: int = SEGMENT_WORDS
-) -> DataFrame:
+def build_index(documents: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The index as a shared table with a row per segment.
 
-    ``terms`` are the terms to store, all if None. A document longer than a segment
-    makes a segment of its own.
+    A document longer than a segment makes a segment of its own.
     """
     narrow = documents.select("doc_id", "text")
     id_type = narrow.schema["doc_id"].dataType.simpleString()
@@ -126,12 +116,10 @@ def build_index(
         f"segment bigint, doc_ids array<{id_type}>, starts binary, lengths binary, "
         "terms array<binary>, counts binary, places binary"
     )
-    vocabulary = None if terms is None else {t: i for i, t in enumerate(sorted(set(terms)))}
-    shared = narrow.sparkSession.sparkContext.broadcast(vocabulary)
 
     def index_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << SEGMENT_BITS
-        segment = _Segment(shared.value)
+        segment = _Segment()
         id_arrow = pa.null()
 
         def to_batch() -> pa.RecordBatch:
@@ -149,7 +137,7 @@ def build_index(
                 if segment.end >= segment_words:
                     yield to_batch()
                     number += 1
-                    segment = _Segment(shared.value)
+                    segment = _Segment()
         if segment.doc_ids:
             yield to_batch()
 
@@ -428,14 +416,11 @@ def find(
     :func:`search`; a document has the same segment and ordinal in both.
     """
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    rest = blocks(benchmark, block_words)
-    block, following = next(rest), next(rest, None)
-    index = build_index(documents, None if following else block.terms(), segment_words)
+    index = build_index(documents, segment_words)
     matches = None
-    while block:
+    for block in blocks(benchmark, block_words):
         found = search(index, block, item_type, window_words, near_terms, near_words)
         matches = matches.unionByName(found) if matches else found
-        block, following = following, next(rest, None)
     return indexed_documents(index), matches
 
 

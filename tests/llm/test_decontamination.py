@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import llm_data
@@ -72,14 +73,32 @@ def test_repeated_and_null_ids(spark):
     assert sorted(r.text for r in left.collect()) == ["more", "other"]
 
 
-def test_index_of_all_terms_gives_the_same(spark):
+def test_one_index_serves_any_benchmark(spark):
     docs, items = cases()
-    table = llm_data.documents(spark, [(*d, None, None) for d in docs])
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
-    (block,) = dc.blocks(benchmark)
-    some = dc.search(dc.build_index(table, block.terms()), block, "bigint")
-    every = dc.search(dc.build_index(table), block, "bigint")
-    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
+    index = dc.build_index(llm_data.documents(spark, [(*d, None, None) for d in docs]), 500)
+
+    def found(items, block_words):
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        rows = set()
+        for block in dc.blocks(benchmark, block_words):
+            rows |= {tuple(r) for r in dc.search(index, block, "bigint").collect()}
+        return rows
+
+    every = found(items, 10**6)
+    assert every and found(items, 20) == every
+    assert found(items[:1], 10**6) == {r for r in every if r[2] == items[0][0]}
+
+
+def test_index_holds_all_words(spark):
+    docs, _ = cases()
+    index = dc.build_index(llm_data.documents(spark, [(*d, None, None) for d in docs]), 300)
+    words = sorted(w for _, t in docs for w in words_of(t))
+    got = []
+    for r in index.collect():
+        counts = np.frombuffer(r.counts, dtype="<i4")
+        assert len(r.places) == 4 * counts.sum()
+        got += [t.decode() for t, n in zip(map(bytes, r.terms), counts) for _ in range(n)]
+    assert sorted(got) == words
 
 
 def test_proximity(spark):
