@@ -90,24 +90,31 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    starts_character = np.ones(n + 1, dtype=bool)
-    starts_character[:-1] = (data & 0xC0) != 0x80
     hashes = gear_hashes(data)
+    spaces = np.flatnonzero(_SPACES[data])
     leading = hashes >> np.uint16(16 - CUT_BITS)
-    space = _SPACES[data]
-    at = np.arange(n)
-    bare = at - np.maximum.accumulate(np.where(space, at, -1)) >= BARE_BYTES
-
-    def cuts(where: np.ndarray) -> list[int]:
-        places = np.flatnonzero(where) + 1
-        return places[starts_character[places]].tolist()
+    places = spaces[hashes[spaces] < CUT_BELOW] + 1
+    starts, lengths = _stretches(spaces, n)
+    bare = lengths >= BARE_BYTES
+    if bare.any():
+        zeros = np.flatnonzero(leading == 0)
+        at = np.searchsorted(starts[bare], zeros, side="right") - 1
+        within = zeros - starts[bare][at]
+        zeros = zeros[(at >= 0) & (within >= BARE_BYTES - 1) & (within < lengths[bare][at])]
+        places = np.sort(np.concatenate((places, zeros + 1)))
+    # A chunk ends before the first byte of a character.
+    starts_character = np.append((data & 0xC0) != 0x80, True)
+    cuts = places[starts_character[places]].tolist()
 
     # Where no cut comes in time, the last of the lesser ones before is taken, so that
     # long chunks follow the content as well.
-    lesser = cuts(leading < LESSER)
+    lesser = None
     ends, last = [], 0
-    for cut in [*cuts((space & (hashes < CUT_BELOW)) | (bare & (leading == 0))), n]:
+    for cut in [*cuts, n]:
         while cut - last > MOST_BYTES:
+            if lesser is None:
+                lesser = np.flatnonzero(leading < LESSER) + 1
+                lesser = lesser[starts_character[lesser]].tolist()
             at = bisect_right(lesser, last + MOST_BYTES) - 1
             forced = lesser[at] if at >= 0 else 0
             if forced - last < LEAST_BYTES:
@@ -143,13 +150,25 @@ _POWERS = np.random.default_rng(7).integers(0, 1 << 63, MOST_BYTES + 4).astype(
 ) * np.uint64(2) + np.uint64(1)
 
 
-def words_before(data: np.ndarray) -> np.ndarray:
-    """How many words begin before each byte, and in all."""
-    space = _SPACES[data]
-    at = np.arange(len(data))
-    place = at - np.maximum.accumulate(np.where(space, at, -1)) - 1
-    begins = ~space & (place % WORD_BYTES == 0)
-    return np.concatenate(([0], np.cumsum(begins)))
+def _stretches(spaces: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the stretches of ``n`` bytes without white space."""
+    edges = np.concatenate(([-1], spaces, [n]))
+    lengths = np.diff(edges) - 1
+    filled = lengths > 0
+    return edges[:-1][filled] + 1, lengths[filled]
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where words begin, ascending; a word begins anew every ``WORD_BYTES`` bytes."""
+    starts, lengths = _stretches(np.flatnonzero(_SPACES[data]), len(data))
+    more = (lengths - 1) // WORD_BYTES
+    long = np.flatnonzero(more)
+    if not len(long):
+        return starts
+    more = more[long]
+    first = np.repeat(np.cumsum(more) - more, more)
+    within = np.arange(len(first)) - first + 1
+    return np.sort(np.concatenate((starts, np.repeat(starts[long], more) + WORD_BYTES * within)))
 
 
 def _bytes_of(text) -> np.ndarray:
@@ -172,7 +191,7 @@ def repeated_digests(documents: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 data = _bytes_of(text)
                 if len(data):
-                    waiting.append(units(data, chunk_ends(data), words_before(data))[0])
+                    waiting.append(units(data, chunk_ends(data), word_starts(data))[0])
                     n_waiting += len(waiting[-1])
                 if n_waiting >= COUNT_AT_ONCE:
                     yield counted()
@@ -194,12 +213,12 @@ def units(data: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.nda
     """What is counted of a text: ``digest, first, last``, by first and last chunk.
 
     These are the pairs of neighbouring chunks, and chunks that have words enough alone.
-    ``words`` are those before each byte.
+    ``words`` is where these begin.
     """
     own, n = digests(data, ends).view(np.uint64), len(ends)
     pairs = (own[:-1] * _MIX) ^ (own[1:] + _BASE)
     pairs = (pairs ^ (pairs >> np.uint64(32))) * _BASE
-    alone = np.flatnonzero(np.diff(words[ends], prepend=0) >= LEAST_WORDS)
+    alone = np.flatnonzero(np.diff(np.searchsorted(words, ends), prepend=0) >= LEAST_WORDS)
     first = np.concatenate((np.arange(n - 1), alone))
     last = np.concatenate((np.arange(1, n), alone))
     digest = np.concatenate((pairs, own[alone])).view(np.int64)
@@ -250,15 +269,14 @@ def candidates(
                 data = _bytes_of(text)
                 if not len(data):
                     continue
-                ends, words = chunk_ends(data), words_before(data)
+                ends, words = chunk_ends(data), word_starts(data)
                 own, first, last = units(data, ends, words)
                 at = np.flatnonzero(in_bit_map(wanted.value, own))
                 if not len(at):
                     continue
                 starts = np.concatenate(([0], ends[:-1]))
-                inside = words[np.stack((starts, ends))]
-                around = np.stack((starts - NEAR_BYTES, ends + NEAR_BYTES)).clip(0, len(data))
-                near = words[around]
+                inside = np.searchsorted(words, np.stack((starts, ends)))
+                near = np.searchsorted(words, np.stack((starts - NEAR_BYTES, ends + NEAR_BYTES)))
                 at = at[_long_runs(first[at], last[at], inside, near, least_near)]
                 if len(at):
                     first, last = first[at], last[at]

@@ -129,7 +129,7 @@ def brute(rows, least_near):
     for doc_id, at, data in texts:
         if data:
             array = np.frombuffer(data, dtype=np.uint8)
-            ends, words = cd.chunk_ends(array), cd.words_before(array)
+            ends, words = cd.chunk_ends(array), cd.word_starts(array)
             own[at] = list(zip(*(c.tolist() for c in cd.units(array, ends, words)))), ends.tolist(), words
             for digest, *_ in own[at][0]:
                 where.setdefault(digest, []).append(at)
@@ -145,8 +145,8 @@ def brute(rows, least_near):
                 continue
             if run and first > max(n for *_, n in run):
                 low, high = starts[run[0][1]], ends[max(n for *_, n in run)]
-                n_words = words[high] - words[low]
-                near = words[min(len(data), high + cd.NEAR_BYTES)] - words[max(0, low - cd.NEAR_BYTES)]
+                n_words = sum(low <= w < high for w in words)
+                near = sum(low - cd.NEAR_BYTES <= w < high + cd.NEAR_BYTES for w in words)
                 if n_words >= cd.LEAST_WORDS and near >= least_near:
                     runs.append((doc_id, low, high, int(n_words)))
                 run = []
@@ -165,11 +165,11 @@ def test_passages_are_those_of_brute_force(spark, least_near):
 
 
 def test_words_of_stretches_without_white_space():
-    data = as_bytes("ab " + "x" * 30 + "  c")
-    words = cd.words_before(data)
-    assert words[-1] == 1 + 3 + 1
-    assert np.flatnonzero(np.diff(words)).tolist() == [0, 3, 15, 27, 35]
-    assert cd.words_before(as_bytes("")).tolist() == [0]
+    assert cd.word_starts(as_bytes("ab " + "x" * 30 + "  c")).tolist() == [0, 3, 15, 27, 35]
+    assert cd.word_starts(as_bytes("ab cd")).tolist() == [0, 3]
+    assert cd.word_starts(as_bytes("x" * 12)).tolist() == [0]
+    assert cd.word_starts(as_bytes("x" * 13)).tolist() == [0, 12]
+    assert cd.word_starts(as_bytes(" ")).tolist() == cd.word_starts(as_bytes("")).tolist() == []
 
 
 def test_empty_table(spark):
