@@ -20,9 +20,9 @@ beforehand; any choice is right, so the list of them may be bounded.
 
 **Verification.** Sets with equal shingles are one node. In every group of nodes that
 share a sketch all are compared with one, the least. Where this leaves a group in
-several components, the pairs across components are compared: directly in small
-groups; the sets of large ones, which share a template, meet again by the shingles that
-few of them have, and sets with few such by the template's part they have. So a group of
+several components, the pairs across components are compared: directly in small groups and in
+those of up to 2048; the sets of larger ones, which share a template, meet again by the
+shingles that few of them have, and sets with few such by the template's part they have. So a group of
 copies costs its size, as does one of a template, and no group lists all its pairs. Pairs are first held against bit sketches, the parities of
 shingles in a number of bits, whose Hamming distance is a lower bound of the sets'
 difference as well; for the few that pass, the shingles' hashes are compared.
@@ -65,10 +65,10 @@ COUNT_AT_ONCE = 1 << 22
 REPORT_FROM = 3
 # Bits of the maps of keys by which tasks leave out what cannot be wanted.
 MAP_BITS = 1 << 26
-# Groups up to this size are compared pair by pair, larger ones in tiles.
+# Groups up to the first size are compared pair by pair, up to the second in a tile.
 SMALL_GROUP = 32
 TILE = 2048
-# Of its large groups each node knows so many, to leave a pair to the first they share.
+# Of its groups in tiles each node knows so many, to leave a pair to the first they share.
 KNOWN_GROUPS = 8
 LEAST_BITS = 256
 
@@ -701,8 +701,16 @@ def _heavy_pairs(split: DataFrame, large: DataFrame) -> DataFrame:
         F.col("least.set_id").alias("a"), F.col("n_least").alias("n_a"),
         F.col("set_id").alias("b"), F.col("n").alias("n_b"),
     )
-    left = held.filter(~alike | F.col("is_least")).select("set_id", "n", "c", "bits")
-    rows = large.select("key", "set_id", "root").join(left, "set_id")
+    # The smallest set of a part stands for it in all groups of the part's sets.
+    columns = ("set_id", "n", "c", "bits", "root")
+    of_part = large.select("key", "set_id", "root").join(held, "set_id")
+    smallest_sets = held.filter("is_least").join(large.select("set_id", "root").distinct(), "set_id")
+    parts = of_part.select("key", "part").distinct()
+    rows = (
+        of_part.filter(~alike & ~F.col("is_least"))
+        .select("key", *columns)
+        .union(parts.join(smallest_sets.select("part", *columns), "part").select("key", *columns))
+    )
     smallest = rows.groupBy("key").agg(F.min("n").alias("smallest"))
     rows = written(rows.join(smallest, "key").filter("7 * c >= 3 * (n + smallest)"), "heavy_rows")
     return stars.union(_tiled_pairs(rows.join(_groups(rows), "key")))
@@ -714,10 +722,10 @@ def remaining_pairs(
     """Pairs that share a key, are in different components and were not compared yet.
 
     Returns ``a, n_a, b, n_b``. ``members`` are ``key, set_id, n``; a key's least node was
-    compared with all. Small groups are compared pair by pair. The sets of large groups
-    meet again by single shingles, the rarer ones first: two that are alike share one of
-    the first n / 4 + 1 of each. That is a shingle few sets have, or else they have only
-    common shingles in common.
+    compared with all. Small groups are compared pair by pair, those of up to a tile as
+    one. The sets of large groups meet again by single shingles, the rarer ones first: two
+    that are alike share one of the first n / 4 + 1 of each. That is a shingle few sets
+    have, or else they have only common shingles in common.
     """
 
     def with_roots(rows: DataFrame) -> DataFrame:
@@ -730,20 +738,22 @@ def remaining_pairs(
     placed = with_roots(members)
     groups = _groups(placed).filter("members > 2")
     open_rows = written(placed.join(groups, "key").filter("set_id != least"), "open_members")
-    is_small = F.col("members") <= SMALL_GROUP
-    direct = _direct_pairs(open_rows.filter(is_small))
-    large = open_rows.filter(~is_small)
+    is_small, is_large = F.col("members") <= SMALL_GROUP, F.col("members") > TILE
+
+    def tiled(rows: DataFrame) -> DataFrame:
+        return _tiled_pairs(rows.join(bits, "set_id").withColumn("c", F.col("n")))
+
+    pairs = _direct_pairs(open_rows.filter(is_small)).union(tiled(open_rows.filter(~is_small & ~is_large)))
+    large = open_rows.filter(is_large)
     if large.isEmpty():
-        return direct.distinct()
+        return pairs.distinct()
     sets = node_sets(documents, surveyed, large.select("set_id"))
     split = split_sets(sets, common_shingles(sets))
     own = with_roots(split.filter("key is not null").select("key", "set_id", "n"))
     own = written(own.join(_groups(own), "key"), "own_shingles")
-    by_own = _direct_pairs(own.filter(is_small))
-    # Shingles of many sets that are not among the common ones, as far as there are.
-    crowded = own.filter(~is_small).withColumn("c", F.col("n")).join(bits, "set_id")
-    pairs = direct.union(by_own).union(_tiled_pairs(crowded)).union(_heavy_pairs(split, large))
-    return pairs.distinct()
+    # Shingles of very many sets that are not among the common ones are left to tiles.
+    pairs = pairs.union(_direct_pairs(own.filter(is_small))).union(tiled(own.filter(~is_small)))
+    return pairs.union(_heavy_pairs(split, large)).distinct()
 
 
 @dataclass
@@ -825,3 +835,32 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
         F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_gone_text")
     )
     return documents.join(gone, same, "left_anti")
+
+
+ORACLE_SQL = """
+    WITH RECURSIVE words AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ), shingles AS MATERIALIZED (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [w]
+                   ELSE [w[i:i + 4] for i in range(1, len(w) - 3)] END) AS s
+        FROM words WHERE len(w) > 0
+    ), sizes AS MATERIALIZED (
+        SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), common AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+        FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+    ), links AS MATERIALIZED (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ), reached AS (
+        SELECT doc_id, doc_id AS other FROM sizes
+        UNION
+        SELECT doc_id, b FROM reached JOIN links ON a = other
+    ), least AS (
+        SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

@@ -104,6 +104,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op12_periodic_runs": periodic_runs.ORACLE_SQL,

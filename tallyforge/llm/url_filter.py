@@ -6,7 +6,8 @@ trained on labelled urls. The trees see how a url is written, no word list: its
 lengths, depth, digits, hyphens, the entropy of its host, its parameters, and how
 often labelled urls under the same host suffixes were blocked.
 
-The block rate and the suffixes' rates are counted over all labelled rows. The trees
+The block rate and the suffixes' rates are counted over all labelled rows; for a url that
+the trees learn from, without its own rows, which would tell its label. The trees
 take a bounded sample of distinct urls, ``SAMPLE_ROWS``, half of each label as far as
 there are, those with the smallest hash; they weigh as their label does in all labelled
 rows, a url as often as it is there. With labels of
@@ -140,9 +141,17 @@ class UrlModel:
     base_rate: float
 
 
-def _with_features(urls: DataFrame, suffixes: list[DataFrame], base_rate: float) -> DataFrame:
+def _with_features(
+    urls: DataFrame,
+    suffixes: list[DataFrame],
+    base_rate: float,
+    own_blocked: Column | float = 0.0,
+    own_rows: Column | float = 0.0,
+) -> DataFrame:
     """``urls`` with the vector ``_features``.
 
+    ``own_blocked`` and ``own_rows`` are left out of the suffixes' counts.
+
     Suffix tables grow with the labelled hosts and are joined by shuffle, unless the
     session finds them small; urls go there once a host, so that a hot one costs a row
     per task.
@@ -151,20 +160,26 @@ def _with_features(urls: DataFrame, suffixes: list[DataFrame], base_rate: float)
     wide = urls.withColumns(features)
     names = list(features)
     hosts = urls.select("host").distinct()
-    for labels, rates in zip(SUFFIX_LABELS, suffixes):
-        rate, seen = f"f_suffix_rate_{labels}", f"f_suffix_seen_{labels}"
+    rates = {}
+    for labels, counts in zip(SUFFIX_LABELS, suffixes):
+        blocked, rows = f"_blocked_{labels}", f"_rows_{labels}"
+        counts = counts.withColumnsRenamed({"_blocked": blocked, "_rows": rows})
         hosts = (
             hosts.withColumn("_suffix", _suffix(labels))
-            .join(rates, "_suffix", "left")
-            .withColumn(rate, F.coalesce("_rate", F.lit(base_rate)))
-            .withColumn(seen, F.log1p(F.coalesce("_seen", F.lit(0.0))))
-            .drop("_suffix", "_rate", "_seen")
+            .join(counts, "_suffix", "left")
+            .fillna(0.0, [blocked, rows])
+            .drop("_suffix")
         )
-        names += [rate, seen]
+        seen = F.greatest(F.col(rows) - own_rows, F.lit(0.0))
+        rates[f"f_suffix_rate_{labels}"] = (
+            F.greatest(F.col(blocked) - own_blocked, F.lit(0.0)) + PRIOR_ROWS * base_rate
+        ) / (seen + PRIOR_ROWS)
+        rates[f"f_suffix_seen_{labels}"] = F.log1p(seen)
     # Written, so that the join shuffles both sides and splits a hot host.
-    wide = wide.join(written(hosts, "url_host_rates"), "host", "left")
+    wide = wide.join(written(hosts, "url_host_counts"), "host", "left").withColumns(rates)
+    names += list(rates)
     assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(wide)
-    return assembled.drop(*names)
+    return assembled.drop(*names, *(c for c in wide.columns if c[:6] in ("_block", "_rows_")))
 
 
 def word_labels(urls: DataFrame, words: Sequence[str] = BLOCK_WORDS) -> DataFrame:
@@ -190,10 +205,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
     hosts = written(hosts, "url_hosts")
     suffixes = [
         hosts.groupBy(_suffix(labels).alias("_suffix")).agg(
-            (
-                (F.sum("blocked") + PRIOR_ROWS * base_rate) / (F.sum("n") + PRIOR_ROWS)
-            ).alias("_rate"),
-            F.sum("n").cast("double").alias("_seen"),
+            F.sum("blocked").alias("_blocked"), F.sum("n").cast("double").alias("_rows")
         )
         for labels in SUFFIX_LABELS
     ]
@@ -220,7 +232,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
         maxDepth=DEPTH,
         checkpointInterval=-1,
         seed=1,
-    ).fit(_with_features(sample, suffixes, base_rate))
+    ).fit(
+        _with_features(
+            sample, suffixes, base_rate, F.col("copies") * F.col("label"), F.col("copies")
+        )
+    )
     return UrlModel(trees, suffixes, base_rate)
 
 

@@ -2,6 +2,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import url_filter as uf
 
@@ -101,10 +102,45 @@ def test_a_small_sample_keeps_the_share_of_labels(spark):
     train += [("http://h0.example.com/copy", 0)] * 500
     model = uf.fit(spark.createDataFrame(train, "url string, label int"), sample_rows=100)
     assert model.base_rate == pytest.approx(100 / 2500)
-    seen = {r["_suffix"]: r["_seen"] for s in model.suffixes for r in s.collect()}
-    assert seen["example.com"] == 2500
+    seen = {r["_suffix"]: (r["_rows"], r["_blocked"]) for s in model.suffixes for r in s.collect()}
+    assert seen["example.com"] == (2500, 100)
     pages = spark.createDataFrame(
         [(i, f"http://h{i % 7}.example.com/{i + 2000}") for i in range(500)], "page_id long, url string"
     )
     rows = uf.judge(pages, model, ()).collect()
     assert sum(r.verdict == "block" for r in rows) < 50
+
+
+def test_hosts_held_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labelled = uf.word_labels(pages)
+    host = uf.host_and_path(F.col("url"))[0]
+    held_out = F.pmod(F.xxhash64(host), F.lit(4)) == 0
+    model = uf.fit(labelled.filter(~held_out))
+    rows = uf.judge(pages.filter(held_out), model, ()).join(
+        pages.select("page_id", "url"), "page_id"
+    ).join(labelled.distinct(), "url").collect()
+    assert len(rows) > 300 and 0.02 < sum(r.label for r in rows) / len(rows) < 0.9
+    assert sum((r.verdict == "block") == (r.label == 1) for r in rows) / len(rows) > 0.95
+    train_hosts = {r[0] for r in labelled.filter(~held_out).select(host).distinct().collect()}
+    assert not train_hosts & {r.host for r in rows}
+
+
+def test_own_rows_are_left_out_of_suffix_rates(spark):
+    urls = spark.createDataFrame(
+        [("http://a.example.com/", 1.0, 3.0), ("http://b.example.com/", 0.0, 1.0), ("http://c.org/", 1.0, 2.0)],
+        "url string, label double, copies double",
+    )
+    counts = [
+        spark.createDataFrame([("com", 3.0, 4.0), ("org", 2.0, 2.0)], "_suffix string, _blocked double, _rows double"),
+        spark.createDataFrame([("example.com", 3.0, 4.0)], "_suffix string, _blocked double, _rows double"),
+    ]
+    own = F.col("copies") * F.col("label"), F.col("copies")
+    for given, expected in ((own, {"a": (0, 1), "b": (3, 3), "c": (0, 0)}), ((), {"a": (3, 4), "b": (3, 4), "c": (2, 2)})):
+        rows = uf._with_features(uf.parsed(urls), counts, 0.5, *given).collect()
+        assert "_blocked_1" not in rows[0].asDict()
+        for r in rows:
+            blocked, n = expected[r.host[0]]
+            rate, seen = r["_features"][-4], r["_features"][-3]
+            assert rate == pytest.approx((blocked + 0.5 * uf.PRIOR_ROWS) / (n + uf.PRIOR_ROWS))
+            assert seen == pytest.approx(math.log1p(n))
