@@ -11,6 +11,13 @@ from tallyforge.sources import ParquetTables
 
 # Amounts are products of two values in hundredths.
 AMOUNT_SCALE = 4
+COLUMNS = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderdate"),
+    "lineitem": ("l_orderkey", "l_extendedprice", "l_discount"),
+    "customer": ("c_custkey", "c_nationkey"),
+    "nation": ("n_nationkey", "n_regionkey"),
+    "region": ("r_regionkey", "r_name"),
+}
 
 
 def region_revenue(tables: ParquetTables, start: str, end: str) -> DataFrame:
@@ -26,31 +33,29 @@ def region_revenue(tables: ParquetTables, start: str, end: str) -> DataFrame:
     filter keeps most of them out of the shuffle where its settings let it; the
     README has the figures.
     """
+    read = tables.read_all(COLUMNS)
     # The columns are timestamps without zone; a plain literal would cast them
     # and keep the filter out of the Parquet scan.
     ordered = F.col("o_orderdate")
     orders = (
-        tables.read("orders", "o_orderkey", "o_custkey", "o_orderdate")
+        read["orders"]
         .filter(ordered >= F.lit(start).cast("timestamp_ntz"))
         .filter(ordered < F.lit(end).cast("timestamp_ntz"))
     )
     per_order = sum_rows(
-        tables.read("lineitem", "l_orderkey", "l_extendedprice", "l_discount"),
+        read["lineitem"],
         "l_orderkey",
         discounted_amount(F.col("l_extendedprice"), F.col("l_discount")),
     )
     per_customer = add_up(
         per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey"
     )
-    customer = tables.read("customer", "c_custkey", "c_nationkey")
-    nation = tables.read("nation", "n_nationkey", "n_regionkey")
-    region = tables.read("region", "r_regionkey", "r_name")
     per_nation = add_up(
-        per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey")), "c_nationkey"
+        per_customer.join(read["customer"], F.col("o_custkey") == F.col("c_custkey")), "c_nationkey"
     )
     per_region = add_up(
-        per_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
-            region, F.col("n_regionkey") == F.col("r_regionkey")
+        per_nation.join(read["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(
+            read["region"], F.col("n_regionkey") == F.col("r_regionkey")
         ),
         "r_name",
     )

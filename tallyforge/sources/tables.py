@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +48,27 @@ class ParquetTables:
 
     def read(self, name: str, *columns: str) -> DataFrame:
         """The named columns of a table; raises if one is not stored."""
-        path = f"{self.root.rstrip('/')}/{name}.parquet"
-        stored = set(self.spark.read.parquet(path).columns)
-        missing = [c for c in columns if c not in stored]
-        if missing:
-            raise MissingColumns(f"table {name} at {path} has no column {', '.join(missing)}")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path).select(*columns)
+        return self.read_all({name: columns})[name]
+
+    def read_all(self, wanted: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
+        """The named columns of each table; raises if one is not stored.
+
+        Each look at a footer is a small Spark job; those of all tables run at once.
+        """
+        paths = {name: f"{self.root.rstrip('/')}/{name}.parquet" for name in wanted}
+        with ThreadPoolExecutor(len(wanted)) as pool:
+            stored = pool.map(lambda path: self.spark.read.parquet(path).columns, paths.values())
+            stored = dict(zip(paths, stored))
+        for name, columns in wanted.items():
+            missing = [c for c in columns if c not in stored[name]]
+            if missing:
+                raise MissingColumns(
+                    f"table {name} at {paths[name]} has no column {', '.join(missing)}"
+                )
+        return {
+            name: self.spark.read.schema(SCHEMAS[name]).parquet(paths[name]).select(*columns)
+            for name, columns in wanted.items()
+        }
 
     def __getitem__(self, name: str) -> DataFrame:
         """All declared columns of a table."""
