@@ -11,8 +11,8 @@ siblings that score well or are prose themselves; without an article or main, li
 links are left out of it.
 
 A name leaves a block out if one of its words is for what is left out. In an article or
-in what is named as content, the whole name must be, so a section on ``login-security``
-stays and ``login-box`` goes. An inline element with such a name is left out only where
+in what is named as content, it must name just that: a section on ``login-security``
+stays, ``login-box`` and ``article-comments`` go. An inline element with such a name is left out only where
 its block has nothing else.
 
 The text is that of the kept blocks in page order, joined by line feeds. Character
@@ -90,8 +90,8 @@ PLAIN_WORDS = frozenset(
     "primary region reply results right row secondary section site slot small stories sub text "
     "thread title top unit user wrap wrapper articles left page sticky fixed inline".split()
 )
-# How bad a name is: one of its words is bad, all that it says is bad, or it is for what
-# readers or the site's owner say beside the article.
+# How bad a name is: one of its words is bad, the word for what it names is, or it is for
+# what readers or the site's owner say beside the article.
 PARTLY, NAMED, READERS = 1, 2, 3
 GOOD_WORDS = frozenset("article body content entry hentry main page post story text".split())
 NEGATIONS = frozenset("has have no with without is js non".split())
@@ -135,7 +135,9 @@ def _badness(words: list[str]) -> int:
         said.append(word)
     if BAD_WORDS.isdisjoint(said):
         return 0
-    if not all(word in BAD_WORDS or word in PLAIN_WORDS for word in words):
+    # What a compound names is its last word that says more than where it stands.
+    named = next(w for w in reversed(said) if w in BAD_WORDS or w not in PLAIN_WORDS)
+    if named not in BAD_WORDS:
         return PARTLY
     return NAMED if READER_WORDS.isdisjoint(said) else READERS
 
@@ -240,7 +242,7 @@ class Page:
         bad_above, in_article = [False] * n, [False] * n
         for i in range(1, n):
             up = self.parents[i]
-            # In an article only a name that is bad as a whole counts.
+            # In an article only a name for what is left out counts.
             if in_article[up] and self.bad[i] == PARTLY:
                 self.bad[i] = 0
             bad_above[i] = bad_above[up] or self.bad[i] > 0

@@ -154,7 +154,10 @@ def _line(documents: DataFrame, old_shard: Column, alike_from: int, block_rows:
             old_shard.cast("int").alias("old"),
             F.floor(F.log2(size) / CLASS_BITS).cast("int").alias("size_class"),
             F.xxhash64(F.monotonically_increasing_id()).alias("scatter"),
-        ).withColumn("source", F.least("old", F.lit(alike_from))),
+        ).withColumn(
+            "source",
+            F.when(F.col("old").between(0, alike_from - 1), F.col("old")).otherwise(F.lit(alike_from)),
+        ),
         "reshard_sizes",
     )
     n_blocks = max(1, -(-thin.count() // block_rows))
@@ -256,7 +259,8 @@ def reshard(
 ) -> DataFrame:
     """Place every document in a new shard, moving as few bytes as may be.
 
-    ``old_shard`` gives the present shard, from 0. Without ``capacities`` the new
+    ``old_shard`` gives the present shard, from 0; null or a negative number is one that
+    no new shard continues. Without ``capacities`` the new
     shards are to be equal in bytes. Old shards from ``alike_from`` on have the same
     ``cost`` to each new shard; by default, those beyond the number of new ones. Returns
     ``doc_id, size, text_crc32, old_shard, shard, slot``; slots of a shard run from 0

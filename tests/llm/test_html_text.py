@@ -198,9 +198,10 @@ def test_sections_with_a_bad_word_in_a_longer_name_stay(around, name, by):
 
 @pytest.mark.parametrize(
     "name",
-    ["login-box", "newsletter-signup", "share-buttons", "related-posts", "commentBody", "ad_slot_3", "cookie-banner"],
+    ["login-box", "newsletter-signup", "share-buttons", "related-posts", "commentBody", "ad_slot_3", "cookie-banner",
+     "article-comments", "fb-comments", "mid-story-ad", "article-sidebar-2", "page-footer"],
 )
-def test_blocks_named_as_a_whole_go(name):
+def test_blocks_named_for_what_is_left_out_go(name):
     body = f"<article><p>{LONG} {LONG}</p><div class='x {name}'><p>{LONG}</p></div><p>End.</p></article>"
     assert main_text(page(body)) == f"{LONG} {LONG}\nEnd."
 

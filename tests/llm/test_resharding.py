@@ -109,6 +109,14 @@ def test_any_number_of_old_shards(spark):
     assert max(Counter(r.shard for r in got).values()) == 1250
 
 
+def test_documents_of_no_old_shard(spark):
+    docs = spark.createDataFrame([(i, "x" * i, (None, -3, 0, 7)[i % 4]) for i in range(80)], "doc_id long, text string, old int")
+    got = resharding.reshard(docs, F.col("old"), shards=2).collect()
+    check(got, 80)
+    assert Counter(r.old_shard for r in got) == {None: 20, -3: 20, 0: 20, 7: 20}
+    assert all(r.shard == 0 for r in got if r.old_shard == 0)
+
+
 def test_many_sources_take_little_time():
     supply = [(7 * s) % 1000 + 1 for s in range(4096)]
     room = [-(-sum(supply) // 16)] * 16
