@@ -574,18 +574,23 @@ def _direct_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _tiled_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs as of ``_tile_pairs`` in groups ``key, set_id, n, c, root, bits, members``.
+def _tiled_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs as of ``_tile_pairs`` in groups ``key, set_id, n, c, root, members``.
 
-    Every member goes to the tiles of its row and column.
+    ``bits`` has a row ``set_id, bits`` for each set. Every member goes to the tiles of
+    its row and column.
     """
-    # No more than a set's own keys are gathered here.
-    known = rows.groupBy("set_id").agg(
-        F.slice(F.sort_array(F.collect_set("key")), 1, KNOWN_GROUPS).alias("known")
+    # No more than a set's own keys are gathered here, so that bit sketches are joined
+    # once a set.
+    sets = (
+        rows.groupBy("set_id", "n", "c", "root")
+        .agg(F.sort_array(F.collect_set(F.struct("key", "members"))).alias("groups"))
+        .join(bits, "set_id")
+        .withColumn("known", F.slice("groups.key", 1, KNOWN_GROUPS))
     )
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     return (
-        rows.join(known, "set_id")
+        sets.select("set_id", "n", "c", "root", "bits", "known", F.inline("groups"))
         .withColumn("own", F.pmod(F.xxhash64("set_id"), tiles).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select(
@@ -702,7 +707,7 @@ def _heavy_pairs(split: DataFrame, large: DataFrame) -> DataFrame:
         F.col("set_id").alias("b"), F.col("n").alias("n_b"),
     )
     # The smallest set of a part stands for it in all groups of the part's sets.
-    columns = ("set_id", "n", "c", "bits", "root")
+    columns = ("set_id", "n", "c", "root")
     of_part = large.select("key", "set_id", "root").join(held, "set_id")
     smallest_sets = held.filter("is_least").join(large.select("set_id", "root").distinct(), "set_id")
     parts = of_part.select("key", "part").distinct()
@@ -713,7 +718,8 @@ def _heavy_pairs(split: DataFrame, large: DataFrame) -> DataFrame:
     )
     smallest = rows.groupBy("key").agg(F.min("n").alias("smallest"))
     rows = written(rows.join(smallest, "key").filter("7 * c >= 3 * (n + smallest)"), "heavy_rows")
-    return stars.union(_tiled_pairs(rows.join(_groups(rows), "key")))
+    bits = heavy.select("set_id", "bits")
+    return stars.union(_tiled_pairs(rows.join(_groups(rows), "key"), bits))
 
 
 def remaining_pairs(
@@ -741,7 +747,7 @@ def remaining_pairs(
     is_small, is_large = F.col("members") <= SMALL_GROUP, F.col("members") > TILE
 
     def tiled(rows: DataFrame) -> DataFrame:
-        return _tiled_pairs(rows.join(bits, "set_id").withColumn("c", F.col("n")))
+        return _tiled_pairs(rows.withColumn("c", F.col("n")), bits)
 
     pairs = _direct_pairs(open_rows.filter(is_small)).union(tiled(open_rows.filter(~is_small & ~is_large)))
     large = open_rows.filter(is_large)

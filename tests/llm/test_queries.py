@@ -14,7 +14,7 @@ from tallyforge.llm import quality
 from tallyforge.llm.common import shared_folder, written
 from tallyforge.llm.queries import ORACLES, QUERIES
 
-SPARK_TYPE = {"VARCHAR": "string"}
+SPARK_TYPE = {"VARCHAR": "string", "INTEGER": "int"}
 ROWS_OF = {name: "pages" if name in ("op1_html_text", "op10_url_filter") else "documents" for name in QUERIES}
 
 
